@@ -96,7 +96,7 @@ def frequencies(docs: DataFrame, text_col: str, index: Index) -> tuple[np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(index.hash), dtype=np.int64), 0
-        for batch in batches:
+        for batch in tv.sliced(batches, 0):
             words = tv.Words(batch.column(0), places=False)
             ids = index.ids_of(words.hash)
             hit = ids >= 0
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     idf = np.log((total + 1) / (df + 1.0)) + 1e-3
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tv.sliced(batches):
             words = tv.Words(batch.column(1), places=False)
             ids, n = index.ids_of(words.hash), words.n
             first = words.first[:-1]

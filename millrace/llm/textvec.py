@@ -193,3 +193,16 @@ def sets(run: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     keep[1:] = (run[1:] != run[:-1]) | (text[1:] != text[:-1])
     run, text = run[keep], text[keep]
     return run, np.searchsorted(text, np.arange(n + 1))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text (one row at least)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = buffers(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
