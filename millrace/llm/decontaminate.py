@@ -173,6 +173,8 @@ def _lookup(tests: Tests, dense: np.ndarray, where: np.ndarray, terms: np.ndarra
     good = tests.pivots[at] == terms
     at, where = at[good], where[good]
     lengths = tests.pivot_to[at] - tests.pivot_from[at]
+    if not lengths.sum():
+        return none, none, none, none
     room = 2_000_000  # proposals worked on at once
     cuts = np.searchsorted(np.cumsum(lengths), np.arange(room, lengths.sum() + room, room), "left") + 1
     found: list[tuple] = []
