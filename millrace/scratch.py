@@ -57,8 +57,14 @@ def _sweep() -> None:
             continue
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from wherever it lies."""
+#: Rows and bytes that Spark hands to a Python worker at once; long texts fill a batch by bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches sent to Python workers, and let those of a local session import this package."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
