@@ -105,13 +105,12 @@ def _build(vocabulary: np.ndarray):
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            terms = batch.column(0)
-            flat = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
-            total += np.bincount(np.unique(doc * size + flat) % size, minlength=size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                terms = whole.column(0).slice(at, 512)
+                flat = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+                total += np.bincount(np.unique(doc * size + flat) % size, minlength=size)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], ["term", "n"])
 
