@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import scratch
-from . import decontaminate, jaccard_join, language_id, license_scan, packing, sharding
+from . import decontaminate, jaccard_join, language_id, license_scan, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,18 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.held_out()
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    return quality.classify(_table(spark, sf_dir, "documents"), labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
+    "op8_quality_trees": op8_quality_trees,
     "op9_decontaminate": op9_decontaminate,
     "op10_kd_sharding": op10_kd_sharding,
 }
