@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import scratch
-from . import decontaminate, jaccard_join, language_id, license_scan, packing, quality, sharding
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,14 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_html_consensus": op3_html_consensus,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
     "op8_quality_trees": op8_quality_trees,
