@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 N = 5
 #: One hash in so many is retained.
-SCALE = 8
+SCALE = 4
 _LEAST = -(1 << 63)
 THRESHOLD = _LEAST + (1 << 64) // SCALE
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
