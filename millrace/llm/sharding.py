@@ -18,7 +18,6 @@ Only the named columns are read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,34 +37,30 @@ class Node:
     first: int  # number of its first leaf
     number: int
     heavy: list[tuple[int, int, int]] = field(default_factory=list)  # (weight, group, portion)
-    dimension: int = 0
-    cut: int | None = None  # keys up to it go left
     left: Node | None = None
     right: Node | None = None
 
 
-def _keys(dimensions: int) -> list[Column]:
-    tie = F.shiftrightunsigned(F.col("g"), 64 - TIE)
-    return [F.shiftleft(F.floor(F.col(f"x{i}") * ((1 << COORDINATE) - 1)).cast("long"), TIE).bitwiseOR(tie) for i in range(dimensions)]
+def _small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows a node, for a broadcast join."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
-def _walk(node: Node, keys: list[Column], leaf) -> Column:
-    if node.left is None:
-        return leaf(node)
-    return F.when(keys[node.dimension] <= F.lit(node.cut), _walk(node.left, keys, leaf)).otherwise(_walk(node.right, keys, leaf))
+def _key(dimensions: int) -> Column:
+    """The key of the dimension named in the column `dim`."""
+    out = F.col("k0")
+    for i in range(1, dimensions):
+        out = F.when(F.col("dim") == i, F.col(f"k{i}")).otherwise(out)
+    return out
 
 
-def _quantiles(light: DataFrame, node_of: Column, key_of: Column, nodes: list[Node], want: dict[int, float], span: dict[int, tuple[int, int]], fine: float) -> dict[int, int]:
-    """For each node the key up to which its light groups weigh about `want`: counted in bins, refined where the cut falls."""
-    below = {n.number: 0.0 for n in nodes}
+def _quantiles(state: DataFrame, dimensions: int, dims: dict[int, int], want: dict[int, float], span: dict[int, tuple[int, int]], fine: float) -> dict[int, int]:
+    """For each node the key up to which its groups weigh about `want`: counted in bins, refined where the cut falls."""
+    below = dict.fromkeys(dims, 0.0)
     cuts: dict[int, int] = {}
-    keyed = light.select(node_of.alias("node"), key_of.alias("key"), "bytes")
-    while open_ := [n.number for n in nodes if n.number not in cuts]:
-        width = {n: max(1, -(-(span[n][1] - span[n][0] + 1) // BINS)) for n in open_}
-        low = reduce(lambda c, n: c.when(F.col("node") == n, F.lit(span[n][0])), open_, F.when(F.lit(False), F.lit(0).cast("long")))
-        high = reduce(lambda c, n: c.when(F.col("node") == n, F.lit(span[n][1])), open_, F.when(F.lit(False), F.lit(0).cast("long")))
-        step = reduce(lambda c, n: c.when(F.col("node") == n, F.lit(width[n])), open_, F.when(F.lit(False), F.lit(1).cast("long")))
-        inside = keyed.where(F.col("node").isin(open_)).withColumns({"low": low, "high": high, "step": step}).where("key between low and high")
+    while open_ := [n for n in dims if n not in cuts]:
+        asked = [(n, dims[n], *span[n], max(1, -(-(span[n][1] - span[n][0] + 1) // BINS))) for n in open_]
+        inside = state.join(_small(state, asked, "node int, dim int, low long, high long, step long"), "node").withColumn("key", _key(dimensions)).where("key between low and high")
         binned = inside.groupBy("node", F.expr("cast((key - low) div step as int)").alias("bin")).agg(F.sum("bytes").alias("w"), F.min("key").alias("a"), F.max("key").alias("b"))
         rows: dict[int, list] = {}
         for r in binned.collect():  # BINS rows a node at most
@@ -83,25 +78,23 @@ def _quantiles(light: DataFrame, node_of: Column, key_of: Column, nodes: list[No
                 if w > fine and a < b:  # look into this bin
                     span[n] = (a, b)
                 else:  # the nearer side
-                    cuts[n] = b if want[n] - below[n] > w / 2 else last if last < a else a - 1
+                    cuts[n] = b if want[n] - below[n] > w / 2 else max(last, a - 1)
                 break
             else:
                 cuts[n] = last
     return cuts
 
 
-def build(groups: DataFrame, dimensions: int, shards: int, total: int, heavy: list[tuple[int, int, int]]) -> Node:
-    """The tree over groups(g, bytes, x0, x1, ...), without its heavy groups; heavy: (weight, group, portion)."""
+def build(light: DataFrame, dimensions: int, shards: int, total: int, heavy: list[tuple[int, int, int]]) -> tuple[Node, DataFrame]:
+    """The tree over light groups (g, bytes, k0, k1, ...) and heavy ones (weight, group, portion); also (g, light_shard)."""
     root = Node(shards, 0, 0, heavy)
-    keys = _keys(dimensions)
+    state = scratch.keep(light.withColumn("node", F.lit(0)))
     level, number = [root], 1
+    shard_of = {0: 0}
     while level := [n for n in level if n.leaves > 1]:
-        node_of = _walk(root, keys, lambda n: F.lit(n.number))
-        stats = groups.groupBy(node_of.alias("node")).agg(
-            F.sum("bytes").alias("w"), *(f(f"x{i}").alias(f"{a}{i}") for i in range(dimensions) for f, a in ((F.min, "a"), (F.max, "b"))), *(f(keys[i]).alias(f"{a}k{i}") for i in range(dimensions) for f, a in ((F.min, "a"), (F.max, "b")))
-        )
+        stats = state.groupBy("node").agg(F.sum("bytes").alias("w"), *(f(f"k{i}").alias(f"{a}{i}") for i in range(dimensions) for f, a in ((F.min, "a"), (F.max, "b"))))
         known = {r.node: r for r in stats.collect()}  # one row a node
-        want, span = {}, {}
+        dims, want, span, turns = {}, {}, {}, []
         for n in level:
             row = known.get(n.number)
             weight = (row.w if row else 0) + sum(w for w, _, _ in n.heavy)
@@ -112,22 +105,22 @@ def build(groups: DataFrame, dimensions: int, shards: int, total: int, heavy: li
                 side = 0 if goal[0] / k >= goal[1] / (n.leaves - k) else 1
                 sides[side].append(item)
                 goal[side] -= item[0]
-            if row:
-                n.dimension = max(range(dimensions), key=lambda i, row=row: (row[f"b{i}"] - row[f"a{i}"], -i))
             n.left, n.right = Node(k, n.first, number, sides[0]), Node(n.leaves - k, n.first + k, number + 1, sides[1])
             number += 2
-            want[n.number] = goal[0]
-            span[n.number] = (row[f"ak{n.dimension}"], row[f"bk{n.dimension}"]) if row else (0, 0)
-        frozen = {n.number: n for n in level}
-        for n in level:
-            n.kept, n.left, n.right = (n.left, n.right), None, None
-        key_of = reduce(lambda c, n: c.when(node_of == n.number, keys[n.dimension]), level, F.when(F.lit(False), F.lit(0).cast("long")))
-        cuts = _quantiles(groups, _walk(root, keys, lambda n: F.lit(n.number)), key_of, level, want, span, total / shards / 500)
-        for n in frozen.values():
-            n.left, n.right = n.kept
-            n.cut = cuts[n.number]
+            shard_of.pop(n.number)
+            shard_of |= {n.left.number: n.left.first, n.right.number: n.right.first}
+            if row:
+                dims[n.number] = max(range(dimensions), key=lambda i, row=row: ((row[f"b{i}"] - row[f"a{i}"]) >> TIE, -i))
+                want[n.number] = goal[0]
+                span[n.number] = (row[f"a{dims[n.number]}"], row[f"b{dims[n.number]}"])
+        cuts = _quantiles(state, dimensions, dims, want, span, total / shards / 500)
+        turns = [(n.number, dims[n.number], cuts[n.number], n.left.number, n.right.number) for n in level if n.number in dims] or [(-1, 0, 0, 0, 0)]
+        turned = state.join(_small(state, turns, "node int, dim int, cut long, to_left int, to_right int"), "node", "left")
+        new = scratch.keep(turned.withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).when(_key(dimensions) <= F.col("cut"), F.col("to_left")).otherwise(F.col("to_right"))).drop("dim", "cut", "to_left", "to_right"))
+        scratch.drop(state)
+        state = new
         level = [c for n in level for c in (n.left, n.right)]
-    return root
+    return root, state.join(_small(state, list(shard_of.items()), "node int, light_shard int"), "node").select("g", "light_shard")
 
 
 def _leaves(node: Node) -> list[Node]:
@@ -145,24 +138,25 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     meta = scratch.keep(meta.withColumn("row", F.monotonically_increasing_id()))
     dims = len(own) + 1
     whole = meta.groupBy("g").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("size").alias("one"), *(F.min(f"y{i}").alias(f"x{i + 1}") for i in range(len(own))))
-    groups = scratch.keep(whole.withColumn("x0", F.least(F.lit(1.0), F.log2(F.col("one")) / 32)))
+    tie = F.shiftrightunsigned(F.col("g"), 64 - TIE)
+    coordinates = [F.least(F.lit(1.0), F.log2(F.col("one")) / 32), *(F.col(f"x{i + 1}") for i in range(len(own)))]
+    groups = scratch.keep(whole.select("g", "bytes", "n", *(F.shiftleft(F.floor(x * ((1 << COORDINATE) - 1)).cast("long"), TIE).bitwiseOR(tie).alias(f"k{i}") for i, x in enumerate(coordinates))))
     total, rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     leaf = max(1.0, total / shards)
 
-    large = groups.where(F.col("bytes") > leaf / 50).select("g", "bytes", "n", "one").collect()  # 50 x shards groups at most
+    large = groups.where(F.col("bytes") > leaf / 50).select("g", "bytes", "n").collect()  # 50 x shards groups at most
     heavy, portions = [], []
     for r in large:
         # whole, unless it outweighs a shard: then in portions of a tenth of one, or single rows
         parts = 1 if r.bytes <= leaf else min(r.n, int(-(-r.bytes * 10 // leaf)))
         portions.append((r.g, parts))
         heavy += [(r.bytes // parts, r.g, p) for p in range(parts)]
-    light = groups.where(F.col("bytes") <= leaf / 50)
-    tree = build(light, dims, shards, total, heavy)
+    light = groups.where(F.col("bytes") <= leaf / 50).drop("n")
+    tree, placed = build(light, dims, shards, total, heavy)
     dealt = [(g, p, leaf_.first) for leaf_ in _leaves(tree) for _, g, p in leaf_.heavy] or [(0, -1, 0)]
     parts_df = F.broadcast(spark.createDataFrame(portions or [(0, 0)], "g long, parts int"))  # 50 x shards rows at most
     dealt_df = F.broadcast(spark.createDataFrame(dealt, "g long, portion int, heavy_shard int"))  # 60 x shards rows at most
 
-    placed = light.select("g", _walk(tree, _keys(dims), lambda n: F.lit(n.first)).alias("light_shard"))
     # portions of a group by its rows' hash: as equal as chance makes them
     put = meta.select("id", "size", "crc", "g", "row").join(parts_df, "g", "left").withColumn("portion", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("row"), "parts").cast("int")))
     put = put.join(dealt_df, ["g", "portion"], "left")
