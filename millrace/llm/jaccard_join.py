@@ -274,3 +274,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     out = out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
     scratch.drop(groups)
     return out
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One document of each class: the one with the smallest id, with all its columns.
+
+    Of rows that repeat an id one stays; rows without an id, which can't be told apart, all stay.
+    """
+    found = scratch.keep(join(docs, id_col, text_col, n, threshold).select(F.col(id_col).alias("__id"), "class_id"))
+    gone = scratch.keep(found.where("__id <> class_id").select("__id").distinct())
+    out = docs.join(gone, docs[id_col] == F.col("__id"), "left_anti")
+    repeated = scratch.keep(found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"))
+    if not repeated.limit(1).count():
+        return out
+    once = out.join(repeated, out[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, out[id_col] == F.col("__id"), "left_anti").unionByName(once)

@@ -186,6 +186,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("key", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 1.0) -> DataFrame:
+    """The documents whose language is known, with all their columns; texts stay where they are."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tv.sliced(batches, place, 1 << 20):
+            column = batch.column(place).fill_null("")
+            if model.langs:
+                _, _, _, words = mixtures(model, column, penalty=penalty)
+                yield batch.filter(pa.array(_has_letter(column) & (words > 0)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """True where crc32 of the id as text falls into the fold; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import scratch
-from . import decontaminate, fingerprint, html_extract, jaccard_join, language_id, license_scan, packing, quality, sharding
+from . import decontaminate, fingerprint, html_extract, jaccard_join, language_id, license_scan, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,15 @@ def op6_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_html_consensus": op3_html_consensus,
+    "op4_feistel_pii": op4_feistel_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_scaled_fingerprint": op6_scaled_fingerprint,
     "op7_language_mixture": op7_language_mixture,
