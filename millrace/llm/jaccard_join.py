@@ -277,15 +277,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each class: the one with the smallest id, with all its columns.
+    """One document of each class, with all its columns: the one with the smallest id (null ids first), then the smallest hash of its text.
 
-    Of rows that repeat an id one stays; rows without an id, which can't be told apart, all stay.
+    Of rows that repeat both id and text one stays.
     """
-    found = scratch.keep(join(docs, id_col, text_col, n, threshold).select(F.col(id_col).alias("__id"), "class_id"))
-    gone = scratch.keep(found.where("__id <> class_id").select("__id").distinct())
-    out = docs.join(gone, docs[id_col] == F.col("__id"), "left_anti")
-    repeated = scratch.keep(found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"))
-    if not repeated.limit(1).count():
-        return out
-    once = out.join(repeated, out[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, out[id_col] == F.col("__id"), "left_anti").unionByName(once)
+    name = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
+    named = docs.withColumn("__name", name)
+    found = scratch.keep(join(named, "__name", text_col, n, threshold).select("__name", "class_id"))
+    gone = scratch.keep(found.where(~F.col("__name").eqNullSafe(F.col("class_id"))).select(F.col("__name").alias("__gone")).distinct())
+    out = named.join(gone, F.col("__name").eqNullSafe(F.col("__gone")), "left_anti")
+    repeated = scratch.keep(found.groupBy("__name").count().where("count > 1").select(F.col("__name").alias("__twice")))
+    if repeated.limit(1).count():
+        again = F.col("__name").eqNullSafe(F.col("__twice"))
+        once = out.join(repeated, again, "left_semi").dropDuplicates(["__name"])
+        out = out.join(repeated, again, "left_anti").unionByName(once)
+    return out.drop("__name")
