@@ -142,7 +142,7 @@ def _exact(plan: Plan, metrics: list[Metric], carried: list[str]):
         return divide(total, Decimal(got["n"]), m.scale)
 
     def checked(x: Decimal | None, m: Metric) -> Decimal | None:
-        if x is not None and m.scale is not None and abs(x).scaleb(m.scale, context=EXACT) >= Decimal(10) ** 38:
+        if x is not None and m.scale is not None and EXACT.abs(x).scaleb(m.scale, context=EXACT) >= Decimal(10) ** 38:
             raise ValueError(f"NUMERIC_OVERFLOW@{m.path}@")
         return x
 

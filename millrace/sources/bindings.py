@@ -84,7 +84,7 @@ def typed(c: Column, f: Field) -> Column:
 
 def split_limbs(value: Decimal) -> tuple[Decimal, Decimal, Decimal]:
     sign = -1 if value < 0 else 1
-    whole = abs(value)
+    whole = EXACT.abs(value)
     i = int(whole)
     rest = int(EXACT.multiply(EXACT.subtract(whole, Decimal(i)), Decimal(10) ** 38))
     return Decimal(sign * i), Decimal(sign * (rest // 10**19)), Decimal(sign * (rest % 10**19))
