@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _KEPT: list[tuple[SparkSession, str]] = []
@@ -34,6 +35,16 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, kept; to be broadcast if it has no more than `rows` rows, else joined by a shuffle that can split hot keys."""
+    kept = keep(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove kept tables that nothing reads any more."""
     for df in tables:
@@ -67,6 +78,8 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives freed batches back
+    env.setdefault("MALLOC_ARENA_MAX", "2")
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([root, *([have] if have else [])])
