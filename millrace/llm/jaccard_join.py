@@ -247,17 +247,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     nodes = scratch.keep(copies)
 
     bands = sketch.join(nodes.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band"))
-    stars = bands.groupBy("band").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "hub")
+    stars = scratch.small(bands.groupBy("band").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "hub"))
     edges = bands.join(stars, "band").where("row <> hub").select(F.col("row").alias("u"), F.col("hub").alias("v"))
     groups = components(edges)
 
     # blocks: about BLOCK texts, more in very large groups so that copies of a text grow with the root of the group's size
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(2 * F.sqrt("size")))).cast("int")
-    placed = groups.join(sizes, "comp").select(F.col("node").alias("row"), "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    known = sketch.select("row", "id", "k1", "k2", "sig").join(placed, "row").join(nodes.select("row", "mult"), "row")
-    wanted = known.select(F.col("id").alias("want")).distinct()
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select(F.lit(0).alias("z"), "t").mapInArrow(_sets(n), "s1 long, s2 long, shingles binary")
+    large = scratch.small(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
+    blocks = F.coalesce(F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(2 * F.sqrt("size")))).cast("int"), F.lit(1))
+    placed = groups.join(large, "comp", "left").select(F.col("node").alias("row"), "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    known = scratch.keep(sketch.select("row", "id", "k1", "k2", "sig").join(placed, "row").join(nodes.select("row", "mult"), "row"))
+    # the scan of the texts is narrowed by id; the sets' own keys decide
+    wanted = scratch.small(known.select(F.xxhash64("id").alias("want")).distinct())
+    found = texts.join(wanted, F.xxhash64("id") == F.col("want"), "left_semi").select(F.lit(0).alias("z"), "t").mapInArrow(_sets(n), "s1 long, s2 long, shingles binary")
     full = known.join(found, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
     units = full.select("comp", "block", "row", "mult", "sig", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "mult", "sig", "shingles")
@@ -266,7 +267,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     classes = components(links.select(F.col("row").alias("u"), F.col("hub").alias("v")))
     counts = links.groupBy("row").agg(F.sum("weight").alias("weight"))
-    lows = classes.join(nodes.select("row", "low"), classes.node == F.col("row")).groupBy("comp").agg(F.min("low").alias("class_low"))
+    lows = scratch.keep(classes.join(nodes.select("row", "low"), classes.node == F.col("row")).groupBy("comp").agg(F.min("low").alias("class_low")))
     named = classes.join(lows, "comp").select(F.col("node").alias("row"), "class_low")
     told = nodes.join(counts, "row", "left").join(named, "row", "left")
     told = told.select("k1", "k2", F.coalesce("class_low", "low").alias("class_id"), (F.coalesce("weight", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
@@ -284,7 +285,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
     named = docs.withColumn("__name", name)
     found = scratch.keep(join(named, "__name", text_col, n, threshold).select("__name", "class_id"))
-    gone = scratch.keep(found.where(~F.col("__name").eqNullSafe(F.col("class_id"))).select(F.col("__name").alias("__gone")).distinct())
+    gone = scratch.small(found.where(~F.col("__name").eqNullSafe(F.col("class_id"))).select(F.col("__name").alias("__gone")).distinct())
     out = named.join(gone, F.col("__name").eqNullSafe(F.col("__gone")), "left_anti")
     repeated = scratch.keep(found.groupBy("__name").count().where("count > 1").select(F.col("__name").alias("__twice")))
     if repeated.limit(1).count():
