@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import __version__
 from .functions import vectors
 from .operators import aggregate, records, retrieve
+from .operators.predicates import shapes
 from .plans import canon, errors
 from .plans.catalog import CHANNELS, Catalog, Policy, Scope
 from .plans.compile import Plan, compile_query
 from .plans.errors import Refusal, refuse
+from .plans.quality import Certification
 from .plans.values import print_instant
 from .sources import decode, sinks
 from .sources.bindings import Binding
@@ -45,7 +47,8 @@ class Engine:
     embedder: Callable[[str, int], tuple] = vectors.hashed
     store: str | None = None  # folder of managed tables
     exact_limit: int = 100_000
-    certified: frozenset = frozenset()
+    certifications: tuple[Certification, ...] = ()
+    bound: dict = field(default_factory=dict)  # what certifications are held against: digests and versions in force
     now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)
     secret: bytes = field(default_factory=lambda: secrets.token_bytes(32))
 
@@ -57,7 +60,26 @@ class Engine:
 
     def compile(self, query: Any, scope: Scope, channel: str = "principal", anchor: str | None = None) -> Plan:
         tree = decode.decode(query) if isinstance(query, (str, bytes)) else query
-        return compile_query(tree, self.catalog, self.policy, scope, channel, anchor, self.now(), self.exact_limit, self.certified)
+        plan = compile_query(tree, self.catalog, self.policy, scope, channel, anchor, self.now(), self.exact_limit)
+        self.certification(plan)
+        return plan
+
+    def certification(self, plan: Plan) -> dict | None:
+        """The reference an approximate retrieval carries; refuses where a profile with thresholds has no valid one."""
+        s = plan.search
+        if s is None or (s["kind"] == "semantic" and s["accuracy"] == "exact"):
+            return None
+        profile, now = self.catalog.quality[s["quality"]], self.now()
+        own = [c for c in self.certifications if (c.profile, c.spec, c.revision) == (s["quality"], plan.spec.id, plan.spec.revision)]
+        if profile.get("thresholds") is None:
+            return own[0].reference("measurementRequired") if own else {"certificationId": "unmeasured", "version": "0", "status": "measurementRequired"}
+        valid = [c for c in own if c.status(now, self.bound) == "valid"]
+        if not valid:
+            raise refuse("QUALITY_UNCERTIFIED", "/search/quality")
+        covering = [c for c in valid if c.covers(shapes(plan.where))]
+        if not covering:
+            raise refuse("FILTER_SHAPE_UNCERTIFIED", "/where")
+        return covering[0].reference("valid")
 
     def binding(self, plan: Plan) -> Binding:
         name = plan.dataset.id
@@ -151,7 +173,7 @@ class Engine:
         )
         retrieval = None
         if plan.search:
-            retrieval = {"embeddingSpec": plan.spec.id, "modelRevision": plan.spec.revision, "metric": plan.spec.metric, "queryVectorDigest": canon.vector_digest(self.vector(plan)), "qualityProfile": profile, "qualityCertification": None, "indexWatermark": snapshot, "fusion": plan.search.get("fusion")}
+            retrieval = {"embeddingSpec": plan.spec.id, "modelRevision": plan.spec.revision, "metric": plan.spec.metric, "queryVectorDigest": canon.vector_digest(self.vector(plan)), "qualityProfile": profile, "qualityCertification": self.certification(plan), "indexWatermark": snapshot, "fusion": plan.search.get("fusion")}
         return {
             **{k: plan.identities[k] for k in ("sourceQueryHash", "effectivePlanHash")},
             "executionFingerprint": fingerprint,

@@ -77,3 +77,12 @@ def fields_of(node: Any) -> set[str]:
     if isinstance(node, Node):
         return set().union(*(fields_of(x) for x in node.items))
     return {node.field.id}
+
+
+def shapes(node: Any) -> set[str]:
+    """Kinds of predicates in a filter: its shape, for certifications."""
+    if node is None:
+        return set()
+    if isinstance(node, Node):
+        return {node.kind}.union(*(shapes(x) for x in node.items))
+    return {node.op}

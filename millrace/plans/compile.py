@@ -83,16 +83,16 @@ class Plan:
     exact_limit: int = 100_000
 
 
-def compile_query(query: dict, catalog: Catalog, policy: Policy, scope: Scope, channel: str = "principal", anchor: str | None = None, now: dt.datetime | None = None, exact_limit: int = 100_000, certified: frozenset = frozenset()) -> Plan:
+def compile_query(query: dict, catalog: Catalog, policy: Policy, scope: Scope, channel: str = "principal", anchor: str | None = None, now: dt.datetime | None = None, exact_limit: int = 100_000) -> Plan:
     grammar.validate(query)
     scope.check(now)
-    return _Compiler(query, catalog, policy, scope, channel, anchor, exact_limit, certified).plan()
+    return _Compiler(query, catalog, policy, scope, channel, anchor, exact_limit).plan()
 
 
 class _Compiler:
-    def __init__(self, query, catalog, policy, scope, channel, anchor, exact_limit, certified):
+    def __init__(self, query, catalog, policy, scope, channel, anchor, exact_limit):
         self.query, self.catalog, self.policy, self.scope = copy.deepcopy(query), catalog, policy, scope
-        self.channel, self.anchor, self.exact_limit, self.certified = channel, anchor, exact_limit, certified
+        self.channel, self.anchor, self.exact_limit = channel, anchor, exact_limit
         self.relative = False
         self.at = parse_instant(anchor, "/execution/anchor") if anchor is not None else None
 
@@ -300,8 +300,6 @@ class _Compiler:
             kinds = sorted(p for p, v in self.catalog.quality.items() if s["kind"] in v.get("searchKinds", ("semantic", "hybrid")))
             if profile is None or s["quality"] not in kinds:
                 raise refuse("REFERENCE_NOT_AVAILABLE", "/search/quality", kinds)
-            if profile.get("thresholds") is not None and (s["quality"], spec.id) not in self.certified:
-                raise refuse("QUALITY_UNCERTIFIED", "/search/quality")
         return replace(plan, search=s, spec=spec, lexical=lexical)
 
     def after_write(self, x: dict) -> dict:

@@ -101,8 +101,10 @@ class Table:
         base = self._read([manifest["base"]] if manifest["base"] else [])
         if not manifest["deltas"]:
             return base
-        log = self._read(manifest["deltas"])
-        newest = log.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in self.schema.fieldNames()]), "_version").alias("r")).select("r.*")
+        # a later file set may hold the same version again, with other vectors
+        order = F.array_position(F.array(*map(F.lit, manifest["deltas"])), F.element_at(F.split(F.input_file_name(), "/"), -2))
+        log = self._read(manifest["deltas"]).withColumn("__set", order)
+        newest = log.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in self.schema.fieldNames()]), F.struct("_version", "__set")).alias("r")).select("r.*")
         return base.join(newest.select(F.col(key).alias("__changed")), F.col(key) == F.col("__changed"), "left_anti").unionByName(newest)
 
     def rows(self, manifest: dict | None = None) -> DataFrame:
