@@ -27,27 +27,40 @@ def f32(vector: list[float], path: str = "/search/text") -> list[float]:
     return out
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Up to this dimension sums are written out, so that they compile into the scan's loop; beyond, they run over the array.
+UNROLLED = 256
+
+
+def _total(terms: list[Column]) -> Column:
+    """A balanced sum."""
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def _sum(v: Column, query: list[float], term) -> Column:
+    """Sum of term(component, the query's component)."""
+    if len(query) <= UNROLLED:
+        return _total([term(F.get(v, F.lit(i)).cast("double"), F.lit(float(x))) for i, x in enumerate(query)])
+    q = F.array(*(F.lit(float(x)) for x in query))
+    return F.aggregate(F.zip_with(v, q, lambda x, y: term(x.cast("double"), y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def score(v: Column, query: list[float], metric: str) -> Column:
     """Larger is nearer."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    if metric == "dotProduct":
-        return _dot(v, q)
     if metric == "squaredEuclidean":
-        return -F.aggregate(F.zip_with(v, q, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    norm = sum(x * x for x in query) ** 0.5
-    return _dot(v, q) / (F.sqrt(_dot(v, v)) * F.lit(norm))
+        return -_sum(v, query, lambda x, y: (x - y) * (x - y))
+    dot = _sum(v, query, lambda x, y: x * y)
+    if metric == "dotProduct":
+        return dot
+    return dot / (F.sqrt(_sum(v, query, lambda x, _: x * x)) * F.lit(sum(x * x for x in query) ** 0.5))
 
 
 def slack(scores: Column, v: Column, query: list[float], metric: str) -> Column:
     """A bound of the rounding error of `score`."""
     eps = 2.0**-52 * (len(query) + 8)
     if metric == "dotProduct":
-        q = F.array(*(F.lit(abs(float(x))) for x in query))
-        return _dot(F.transform(v, lambda x: F.abs(x)), q) * eps
+        return _sum(v, query, lambda x, y: F.abs(x * y)) * eps
     return (F.abs(scores) + F.lit(1.0 if metric == "cosine" else 0.0)) * (4 * eps)
 
 

@@ -41,7 +41,7 @@ def nearest(df: DataFrame, plan: Plan, query: list[float], k: int) -> list[str]:
     scored = df.select(key, name, vectors.score(F.col(name), query, metric).alias("score"))
     scored = scored.withColumn("slack", vectors.slack(F.col("score"), F.col(name), query, metric))
     if metric == "cosine":
-        zero = ~F.exists(name, lambda x: x != 0)
+        zero = F.forall(name, lambda x: x == 0)
         scored = scored.withColumn("score", F.when(zero, F.raise_error(F.lit("SCHEMA_INVALID_VALUE@/search/using@")).cast("double")).otherwise(F.col("score")))
     best = scored.orderBy(F.col("score").desc(), key).limit(k).agg(F.min(F.col("score") - F.col("slack")).alias("low")).first()
     if best.low is None:
