@@ -23,7 +23,7 @@ from . import __version__
 from .functions import vectors
 from .operators import aggregate, records, retrieve
 from .operators.predicates import shapes
-from .plans import canon, errors
+from .plans import canon, cost, errors
 from .plans.catalog import CHANNELS, Catalog, Policy, Scope
 from .plans.compile import Plan, compile_query
 from .plans.errors import Refusal, refuse
@@ -62,6 +62,7 @@ class Engine:
         tree = decode.decode(query) if isinstance(query, (str, bytes)) else query
         plan = compile_query(tree, self.catalog, self.policy, scope, channel, anchor, self.now(), self.exact_limit)
         self.certification(plan)
+        cost.admit(plan, scope)
         return plan
 
     def certification(self, plan: Plan) -> dict | None:
@@ -140,7 +141,9 @@ class Engine:
             return empty, seen, None
         binding = self.binding(plan)
         collected = self.frame(plan).collect()  # at most `take` rows
-        return sinks.rows(collected, plan), seen, binding.snapshot()
+        rows = sinks.rows(collected, plan)
+        cost.check_result(rows, scope)
+        return rows, seen, binding.snapshot()
 
     @staticmethod
     def _no_input(plan: Plan) -> list[dict]:
@@ -293,6 +296,25 @@ class Engine:
         f = d.fields[name]
         return {"field": name, "values": [{"code": c, "label": x} for c, x in sorted(zip(f.codes, f.labels, strict=True))]}
 
+    def resources(self, scope: Scope) -> list[str]:
+        """Names under which parts of the catalog can be read."""
+        return ["catalog://source", *(f"catalog://source/datasets/{d.id}" for d in self._seen(scope))]
+
+    def read_resource(self, name: str, scope: Scope, channel: str = "principal") -> Any:
+        if name == "catalog://source":
+            return {"version": self.catalog.version, "datasets": [d.id for d in self._seen(scope)]}
+        return self.describe(name.removeprefix("catalog://source/datasets/"), scope, channel)
+
+    def documentation(self, scope: Scope, channel: str = "principal") -> str:
+        """The visible catalog as text: datasets, fields with kinds and operations, embeddings."""
+        out = []
+        for d in self._seen(scope):
+            told = self.describe(d.id, scope, channel)
+            out += [f"# {d.id}", d.description, ""]
+            out += [f"- {f['id']} ({f['kind']}{', nullable' if f['nullable'] else ''}): {f['description']} [{', '.join(f['operations'])}]" for f in told["fields"]]
+            out += [f"- search with {s}" for s in told["embeddings"]] + [""]
+        return "\n".join(out)
+
     def execution_receipt(self, envelope: dict) -> str:
         """Proof that this engine has answered a query; needed to save it."""
         p = envelope["provenance"]

@@ -192,8 +192,6 @@ class _Compiler:
             out = replace(out, anchor=None)
         elif self.relative:
             out = replace(out, anchor=self.anchor)
-        if q["take"] > self.scope.budget("rows", 100_000):
-            raise refuse("COST_LIMIT_EXCEEDED", "/take", [], {"rows": self.scope.budget("rows", 100_000)})
         source = canon.digest(q)
         identities = {"sourceQueryHash": source, "scopeFingerprint": self.scope.fingerprint, "effectivePlanHash": canon.effective_plan_hash(self.catalog.version, self.policy.version, self.scope.fingerprint, source)}
         return replace(out, identities=identities, canonical=q)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.catalog import Dataset, Field
+from .encodings import physical_name
 
 META = [T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType())]
 
@@ -47,7 +48,7 @@ class Table:
 
     def __post_init__(self) -> None:
         jvm = self.spark._jvm  # noqa: SLF001
-        self._path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([self.root, self.dataset.id, *p]))
+        self._path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([self.root, physical_name("table", self.dataset.id), *p]))
         self._fs = self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
         self.schema = schema(self.dataset)
 

@@ -130,3 +130,35 @@ def test_no_row_outside_scope_is_ever_seen(spark):
         assert [r["d.id"] for r in e.run(q, scope)["data"]["rows"]] == [r[0] for r in best]
         q = {"version": "0", "mode": "aggregate", "from": "d", "where": where, "dimensions": [], "metrics": [{"id": "n", "op": "count"}], "order": [{"by": "n", "dir": "asc"}], "take": 1}
         assert e.run(q, scope)["data"]["groups"] == [{"n": len(eligible)}]
+
+
+def test_cost_gates(service):
+    narrow = Scope.open({"bills.tenant": ["a"]}, rows=3)
+    out = service.engine.run(records(take=4), narrow)["errors"][0]
+    assert (out["code"], out["path"], out["remedy"]["details"]["budget"]) == ("COST_LIMIT_EXCEEDED", "/take", "rows")
+    assert service.engine.run(records(take=3), narrow)["status"] == "success"
+    assert service.engine.run(retrieve(take=5), Scope.open({"bills.tenant": ["a"]}, candidates=4))["errors"][0]["remedy"]["details"]["budget"] == "candidates"
+    assert service.engine.run(records(take=100), Scope.open({"bills.tenant": ["a"]}, intermediateBytes=500))["errors"][0]["code"] == "COST_LIMIT_EXCEEDED"
+
+
+def test_catalog_resources_and_documentation(service):
+    assert service.engine.resources(SCOPE) == ["catalog://source", "catalog://source/datasets/bills"]
+    assert service.engine.read_resource("catalog://source/datasets/bills", SCOPE)["id"] == "bills"
+    assert service.engine.read_resource("catalog://source/datasets/secrets", SCOPE)["errors"][0]["code"] == "REFERENCE_NOT_AVAILABLE"
+    text = service.engine.documentation(SCOPE)
+    assert "bills.total (decimal, nullable)" in text and "secrets" not in text
+
+
+def test_stored_vectors_decode(spark):
+    import numpy as np
+
+    from millrace.sources.encodings import decoded
+
+    for encoding, raw, want in (
+        ("float32", np.array([1.5, -2], "<f4").tobytes(), [1.5, -2.0]),
+        ("float64", np.array([0.25, 4], "<f8").tobytes(), [0.25, 4.0]),
+        ("int8", np.array([-3, 7], "i1").tobytes(), [-3.0, 7.0]),
+        ("binary", bytes([2]), [0.0, 1.0]),
+    ):
+        df = spark.createDataFrame([(1, bytearray(raw)), (2, None)], "id long, v binary")
+        assert [r.v for r in decoded(df, "v", encoding, 2).orderBy("id").collect()] == [want, None]
