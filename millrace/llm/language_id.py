@@ -8,7 +8,7 @@ likelihood: languages are added in order of their proportion while the
 log-likelihood grows by more than the penalty.
 
 Fitting reads at most about ``fit_rows`` documents a language (chosen by a hash
-of their text, whole texts); everything else covers all documents.
+of their text, whole texts, copies once); everything else covers all documents.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter,
 and for all texts if nothing was learned; rows with a null language teach
@@ -88,7 +88,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_row
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, fit_rows / sizes[lang]))).otherwise(share)
-    chosen = known.where(F.shiftrightunsigned(F.xxhash64("t"), 11) / F.lit(float(1 << 53)) < share)
+    # copies of a text count once, so that a hot text can't outgrow the sample
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64("t"), 11) / F.lit(float(1 << 53)) < share).dropDuplicates(["lang", "t"])
     rows = chosen.mapInArrow(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets
     counts = np.zeros((BUCKETS, len(langs)))
     counts[rows["bucket"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
