@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import __version__
 from .functions import vectors
 from .operators import aggregate, records, retrieve
-from .operators.predicates import shapes
+from .operators.predicates import holds, shapes
 from .plans import canon, cost, errors
 from .plans.catalog import CHANNELS, Catalog, Policy, Scope
 from .plans.compile import Plan, compile_query
@@ -148,7 +148,7 @@ class Engine:
     @staticmethod
     def _no_input(plan: Plan) -> list[dict]:
         row = {m.id: 0 if m.op in ("count", "countDistinct") else None for m in plan.metrics}
-        return [row] if plan.having is None else []
+        return [row] if plan.having is None or holds(plan.having, row) else []
 
     def _visible(self, plan: Plan, scope: Scope) -> list[dict]:
         if self.store is None or plan.dataset.id in self.bindings:

@@ -86,3 +86,16 @@ def shapes(node: Any) -> set[str]:
     if isinstance(node, Node):
         return {node.kind}.union(*(shapes(x) for x in node.items))
     return {node.op}
+
+
+def holds(node: Any, row: dict[str, Any]) -> bool:
+    """A having tree over one row of plain numbers and nulls."""
+    if isinstance(node, Node):
+        items = [holds(x, row) for x in node.items]
+        return not items[0] if node.kind == "not" else all(items) if node.kind == "and" else any(items)
+    value = row[node.field.id]
+    if node.op in ("isNull", "isNotNull"):
+        return (value is None) == (node.op == "isNull")
+    if node.op in ("eq", "ne"):
+        return (value == node.value) == (node.op == "eq")
+    return value is not None and _ORDERED[node.op](value, node.value)

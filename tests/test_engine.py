@@ -190,6 +190,16 @@ def test_scope_comes_first_and_empty_scope_sees_nothing(engine):
     assert "tenant" in plan
 
 
+def test_empty_scope_has_the_shape_of_empty_input(engine):
+    m = [{"id": "n", "op": "count"}, {"id": "s", "op": "sum", "field": "bills.total"}]
+    nobody = Scope.open({})
+    assert groups(engine.run(aggregate(m), nobody)) == [{"n": 0, "s": None}]
+    for op, value, want in (("eq", 0, 1), ("gt", 0, 0)):
+        having = {"kind": "predicate", "metric": "n", "op": op, "value": value}
+        assert len(groups(engine.run(aggregate(m, having=having), nobody))) == want
+        assert len(groups(engine.run(aggregate(m, having=having, where=leaf("count", "gt", value=999)), SCOPE))) == want
+
+
 def test_hidden_is_nonexistent(engine, spark):
     closed = Engine(spark, engine.catalog, policy=Policy({"version": "p", "fields": {"bills.total": {"select": False}}}), store=engine.store)
     hidden, missing = (closed.run(records(select=("id", name)), SCOPE)["errors"] for name in ("total", "nothing"))
