@@ -247,7 +247,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     nodes = scratch.keep(copies)
 
     bands = sketch.join(nodes.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band"))
-    stars = scratch.small(bands.groupBy("band").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "hub"))
+    stars = scratch.keep(bands.groupBy("band").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "hub"))
     edges = bands.join(stars, "band").where("row <> hub").select(F.col("row").alias("u"), F.col("hub").alias("v"))
     groups = components(edges)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once: bounds the temporary arrays, whatever the texts' lengths.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -195,7 +195,7 @@ def sets(run: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return run, np.searchsorted(text, np.arange(n + 1))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

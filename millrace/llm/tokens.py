@@ -19,7 +19,7 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS
 _OTHER = re.compile(rf"[^\x00-\x7f{_LETTERS}]|<\|")
 _SPACE = re.compile(r"[ \t\n\r\f\v]")
 #: Words whose ids are kept, and characters worked on at once.
-CACHED, SEGMENT = 300_000, 1 << 18
+CACHED, SEGMENT = 200_000, 1 << 18
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
