@@ -52,6 +52,23 @@ class Encoder:
         self.numbers = _Numbers()
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1, dtype=np.int64)  # word n has flat[start[n]:start[n + 1]]
+        self.seen = np.zeros(0, dtype=np.int64)  # how often each word was looked up
+
+    def _thin(self) -> None:
+        """Keep the half of the words that was looked up most."""
+        if self.numbers.new:
+            self._learn()
+        words = list(self.numbers)
+        seen = np.concatenate([self.seen, np.zeros(len(words) - len(self.seen), dtype=np.int64)])
+        kept = np.sort(np.argsort(-seen, kind="stable")[: CACHED // 2])
+        first, count = self.start[kept], np.diff(self.start)[kept]
+        end = np.cumsum(count)
+        flat = self.flat[np.repeat(first - end + count, count) + np.arange(end[-1] if len(end) else 0)]
+        self._reset()
+        self.numbers.update(zip([words[i] for i in kept.tolist()], range(len(kept)), strict=True))
+        self.flat = np.concatenate([flat, np.zeros(1 << 16, dtype=np.uint32)])
+        self.start = np.concatenate([[0], end])
+        self.seen = seen[kept] // 2
 
     def _learn(self) -> None:
         words, self.numbers.new = self.numbers.new, []
@@ -76,6 +93,9 @@ class Encoder:
         """Ids of the words numbered in `at`, and the words' ends among them."""
         if self.numbers.new:
             self._learn()
+        seen = np.bincount(at, minlength=len(self.numbers))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
         first = self.start[at]
         count = self.start[at + 1] - first
         total = np.cumsum(count)
@@ -87,7 +107,7 @@ class Encoder:
             cut = _SPACE.search(text, at + SEGMENT)
             to = cut.start() if cut else len(text)
             if len(self.numbers) > CACHED:
-                self._reset()
+                self._thin()
             out.append(self._gather(self._look(text[at:to]))[0])
             at = to
         return np.concatenate(out)
@@ -115,7 +135,7 @@ class Encoder:
                 flush()
                 size = 0
                 if len(self.numbers) > CACHED:
-                    self._reset()
+                    self._thin()
             text = text.lower()
             if len(text) > SEGMENT:
                 out[i] = self._long(text)
