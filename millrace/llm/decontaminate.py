@@ -5,8 +5,9 @@ vocabulary's words in its documents, in one scan of the texts; the index is a
 table in the shared folder.  Document frequencies are counted from the index
 over all documents.  Each test window is then looked up from its rarest terms:
 their postings, shifted by the term's place in the window, propose starts, which
-are intersected with the shifted postings of the next rarest terms until all
-words have matched (exact phrases) or all but a few have (proximity matches).
+are intersected with the shifted postings of the other terms until all words have
+matched (exact phrases) or all but a few have (proximity matches).  A window that
+may miss m words is looked up from its m + 1 rarest places, one of which is there.
 
 Defined results: null and empty texts have no words and no hits; items without
 words are never found; items of fewer words than a window are one window;
@@ -48,8 +49,8 @@ class Tests:
         self.windows = [np.array(w, dtype=np.int32) for w in seen]
         self.items = [np.array(sorted(x)) for x in seen.values()]
 
-    def order(self, frequency: np.ndarray) -> None:
-        """Fix each window's order of lookup: rarest terms first; pivots are grouped by their term."""
+    def order(self, frequency: np.ndarray, near: float) -> None:
+        """Fix each window's order of lookup: rarest terms first; pivots, one place more than may be missed, are grouped by their term."""
         size = max((len(w) for w in self.windows), default=1)
         count = len(self.windows)
         self.length = np.array([len(w) for w in self.windows], dtype=np.int64)
@@ -59,10 +60,13 @@ class Tests:
             by = np.argsort(frequency[w], kind="stable")
             self.places[k, : len(w)] = by
             self.terms[k, : len(w)] = w[by]
-        by = np.argsort(self.terms[:, 0], kind="stable") if count else np.zeros(0, np.int64)
-        self.by_pivot = by
-        self.pivots, self.pivot_from = np.unique(self.terms[by, 0], return_index=True) if count else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        self.pivot_to = np.append(self.pivot_from[1:], count)
+        self.allowed = np.minimum(np.floor(self.length * (1 - near) + 1e-9).astype(np.int64), self.length - 1)
+        of_rank = [np.flatnonzero(self.allowed >= k) for k in range(int(self.allowed.max(initial=0)) + 1)]
+        window, rank = np.concatenate(of_rank), np.repeat(np.arange(len(of_rank)), [len(x) for x in of_rank])
+        by = np.argsort(self.terms[window, rank], kind="stable")
+        self.by_pivot, self.rank = window[by], rank[by]
+        self.pivots, self.pivot_from = np.unique(self.terms[self.by_pivot, self.rank], return_index=True)
+        self.pivot_to = np.append(self.pivot_from[1:], len(by))
 
 
 def _ids_of(vocabulary: np.ndarray, named: np.ndarray) -> np.ndarray:
@@ -117,7 +121,7 @@ def _frequencies(size: int):
     return run
 
 
-def _match(tests: Tests, near: float):
+def _match(tests: Tests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -131,7 +135,7 @@ def _match(tests: Tests, near: float):
                 where = np.repeat(first[:-1], counts) + batch.column(3).flatten().to_numpy(zero_copy_only=False)
                 terms = lists.flatten().to_numpy(zero_copy_only=False)
                 dense[where] = terms
-                window, start, close_window, close_start = _lookup(tests, dense, where, terms, first, near)
+                window, start, close_window, close_start = _lookup(tests, dense, where, terms, first)
                 n = batch.num_rows
                 hit = np.zeros(len(dense) + 1, dtype=np.int64)
                 np.add.at(hit, start, 1)
@@ -162,7 +166,7 @@ def _match(tests: Tests, near: float):
     return run
 
 
-def _lookup(tests: Tests, dense: np.ndarray, where: np.ndarray, terms: np.ndarray, first: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lookup(tests: Tests, dense: np.ndarray, where: np.ndarray, terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(window, start) of exact matches and of proximity matches."""
     none = np.zeros(0, np.int64)
     if not len(tests.windows) or not len(terms):
@@ -182,22 +186,22 @@ def _lookup(tests: Tests, dense: np.ndarray, where: np.ndarray, terms: np.ndarra
         if not count.sum():
             continue
         run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        window = tests.by_pivot[np.repeat(tests.pivot_from[at[a:b]], count) + run]
+        pivot = np.repeat(tests.pivot_from[at[a:b]], count) + run
+        window, rank = tests.by_pivot[pivot], tests.rank[pivot]
         seen = np.repeat(where[a:b], count)
-        start = seen - tests.places[window, 0]
+        start = seen - tests.places[window, rank]
         doc = np.searchsorted(first, seen, "right") - 1
         fits = (start >= first[doc]) & (start + tests.length[window] <= first[doc + 1])
-        window, start = window[fits], start[fits]
-        matched, missed = np.ones(len(window), np.int64), np.zeros(len(window), np.int64)
-        allowed = np.floor(tests.length[window] * (1 - near) + 1e-9).astype(np.int64)
-        for k in range(1, tests.places.shape[1]):
+        window, start, rank = window[fits], start[fits], rank[fits]
+        missed = np.zeros(len(window), np.int64)
+        for k in range(tests.places.shape[1]):
             live = k < tests.length[window]
             same = dense[np.where(live, start + tests.places[window, k], 0)] == tests.terms[window, k]
-            matched += live & same
             missed += live & ~same
-            keep = missed <= allowed
+            # a rarer place that is there has proposed the same start
+            keep = (missed <= tests.allowed[window]) & ~(same & (k < rank))
             if not keep.all():
-                window, start, matched, missed, allowed = window[keep], start[keep], matched[keep], missed[keep], allowed[keep]
+                window, start, rank, missed = window[keep], start[keep], rank[keep], missed[keep]
         exact = missed == 0
         found.append((window[exact], start[exact], window[~exact], start[~exact]))
     if not found:
@@ -222,8 +226,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     for block in range(blocks):
         mine = tests_df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         tests = Tests([(r.item, r.t) for r in mine.collect()], window, vocabulary)  # one block of test items
-        tests.order(frequency)
-        found.append(index.mapInArrow(_match(tests, near), f"id {kind}, row long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<at:long,words:long>>"))
+        tests.order(frequency, near)
+        found.append(index.mapInArrow(_match(tests), f"id {kind}, row long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<at:long,words:long>>"))
     out = found[0] if blocks == 1 else _merged(found)
     return out.drop("row").withColumnRenamed("id", id_col)
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -61,6 +62,35 @@ def test_proximity_matches(spark):
     assert found[1]["items"] == [] and found[1]["near_items"] == ["1"] and found[2]["near_items"] == []
 
 
+def test_proximity_matches_at_every_place(spark):
+    w = SENTENCE.split()[:13]
+    docs = [(k, " ".join(["so", *w[:k], "slowly", *w[k + 1 :], "on"])) for k in range(13)]
+    found = {r.doc_id: r for r in op.search(spark.createDataFrame(docs, "doc_id long, text string"), bench_of(spark, [(1, " ".join(w))])).collect()}
+    assert all(found[k]["items"] == [] and found[k]["near_items"] == ["1"] for k in range(13))
+
+
+@pytest.mark.parametrize("near", [0.85, 0.7])
+def test_proximity_matches_against_brute_force(spark, near):
+    rng = random.Random(5)
+    items = [(i, [rng.choice("abcdefghij") for _ in range(rng.choice([3, 7, 13, 16]))]) for i in range(12)]
+    docs = []
+    for k in range(60):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice("abcxyz")
+        docs.append((k, [rng.choice("abcx") for _ in range(3)] + w + [rng.choice("abcx") for _ in range(3)]))
+    want = {k: set() for k, _ in docs}
+    for k, w in docs:
+        for i, x in items:
+            n = min(13, len(x))
+            for probe in (x[s : s + n] for s in range(len(x) - n + 1)):
+                missed = [sum(a != b for a, b in zip(probe, w[s : s + n], strict=True)) for s in range(len(w) - n + 1)]
+                if any(0 < m <= n * (1 - near) + 1e-9 for m in missed):
+                    want[k].add(str(i))
+    got = op.search(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string"), bench_of(spark, [(i, " ".join(x)) for i, x in items]), near=near)
+    assert {r.doc_id: set(r.near_items) for r in got.collect()} == want and any(want.values())
+
+
 def test_empty_tables(spark):
     bench = bench_of(spark, [(1, SENTENCE)])
     assert op.search(empty(spark), bench).count() == 0
