@@ -1,14 +1,16 @@
 """Main text of web pages by consensus host paths.
 
-1. Each page is parsed; its containers are scored by the text they hold outside
-   boilerplate, links counting against it, and the page votes for the deepest
-   container that holds most of the page's text.
+1. Each page is parsed and votes for the smallest container that holds all of its
+   text outside boilerplate, though for nothing inside an article or main element.
+   A vote counts by its share of the page's text, links counting against it.
 2. Votes are summed per host over generalised tag-class paths (digits cut out).
-3. Every page is extracted again from its host's winning path; a page without
-   that path uses its own vote.
+3. Every page is extracted again from its host's winning path: all containers of
+   that path, and the text around them up to other div elements, which the host's
+   pages leave out.  A page without that path uses its own vote.
 
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers and of the markup.
+scripts, styles, comments of readers and of the markup.  Outside the container,
+text that is mostly links is taken for a menu, unless it is a heading or paragraph.
 
 Defined results: null and empty html give an empty text; a page without a
 container gives its body's text; a null or relative url has the host ''; repeated
@@ -42,6 +44,8 @@ _SKIP = frozenset("aside button canvas datalist dialog fieldset footer form head
 _BOILER = frozenset(
     "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Elements whose links are text like any other.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote dd dt figcaption".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dt dd", ("dl",)), "dt": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
@@ -186,33 +190,31 @@ class Page:
             out[self.nodes[i].parent] += out[i]
         return out
 
-    def vote(self, most: float = 0.7) -> tuple[int, float]:
-        """The deepest container with most of the page's text, and its share."""
-        mass = self.masses()
-        children: dict[int, list[int]] = {}
-        for i, n in enumerate(self.nodes[1:], 1):
-            if not n.skip:
-                children.setdefault(n.parent, []).append(i)
+    def _real(self) -> list[int]:
+        """Characters of each element's own text, none where it is a menu."""
+        return [n.text if n.name in _PROSE or 2 * n.links < n.text else 0 for n in self.nodes]
+
+    def _held(self) -> list[int]:
+        """Characters of text outside menus in each element's subtree."""
+        out = self._real()
+        for i in range(len(out) - 1, 0, -1):
+            out[self.nodes[i].parent] += out[i]
+        return out
+
+    def vote(self) -> tuple[int, float]:
+        """The smallest container with all of the page's text, and its share by mass."""
+        held = self._held()
         at = chosen = 0
-        while own := children.get(at):
-            at = max(own, key=lambda i: mass[i])
-            if mass[at] < most * mass[0] or mass[at] <= 0:
+        for i in range(1, len(self.nodes)):
+            if self.nodes[at].name in ("article", "main"):
                 break
-            if self.nodes[at].name in _CONTAINERS:
-                chosen = at
+            if self.nodes[i].parent == at and held[i] and held[i] == held[at]:
+                at = i
+                if self.nodes[i].name in _CONTAINERS:
+                    chosen = i
+        mass = self.masses()
         return chosen, mass[chosen] / mass[0] if mass[0] else 0.0
 
-    def find(self, path: str) -> int | None:
-        """The container of this path that holds most; None if there is none with text."""
-        mass = None
-        best = None
-        for i, n in enumerate(self.nodes):
-            if n.path == path and n.name in _CONTAINERS and not n.skip:
-                mass = mass or self.masses()
-                if best is None or mass[i] > mass[best]:
-                    best = i
-        return best if best is not None and mass[best] > 0 else None
-
     def text(self, container: int) -> str:
         inside = {container}
         for i in range(container + 1, len(self.nodes)):
@@ -220,6 +222,29 @@ class Page:
                 inside.add(i)
         return "\n".join(t for at, t in self.blocks if at in inside)
 
+    def text_by(self, path: str) -> str | None:
+        """The text of all containers of this path, and what stands around them outside other div elements; None if there is none with text."""
+        held = None
+        inside: set[int] = set()
+        for i, n in enumerate(self.nodes):
+            if n.path == path and n.name in _CONTAINERS and not n.skip:
+                held = held or self._held()
+                if held[i]:
+                    inside.add(i)
+        if not inside:
+            return None
+        around = set()
+        for i in inside:
+            while (i := self.nodes[i].parent) >= 0 and i not in around:
+                around.add(i)
+        for i, n in enumerate(self.nodes):
+            if n.parent in inside:
+                inside.add(i)
+            elif n.parent in around and i not in inside and n.name not in ("div", "center"):
+                around.add(i)
+        real = self._real()
+        return "\n".join(t for at, t in self.blocks if at in inside or (at in around and real[at]))
+
 
 def host(url: str | Column = "url") -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col(url) if isinstance(url, str) else url), r"^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#\s]*)", 1), F.lit(""))
@@ -242,11 +267,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, used = [], []
         for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             page = Page(source or "")
-            at = page.find(path) if path else None
-            if at is None:
+            text = page.text_by(path) if path else None
+            if text is None:
                 at, _ = page.vote()
-            texts.append(page.text(at))
-            used.append(page.nodes[at].path)
+                text, path = page.text(at), page.nodes[at].path
+            texts.append(text)
+            used.append(path)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())], ["id", "url", "text", "n_chars", "path"])
 
 

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from millrace.llm import html_extract as op
 
 from .common import SF
@@ -37,6 +39,28 @@ def test_consensus_over_pages(spark):
     assert {r.host: r.path for r in op.consensus(rows(spark, OTHERS.items())).collect()} == {"a.example": "/body/div.post-"}
 
 
+MOST = "<p>" + "The greater part of the story stands in here. " * 9 + "</p>"
+
+
+@pytest.mark.parametrize("inner", ["section", "div", "table><tr><td", "blockquote"])
+@pytest.mark.parametrize("outer", ["article", "main", "div class=post"])
+def test_text_beside_an_inner_container_stays(inner, outer):
+    page = op.Page(f"<body><ul><li><a href=x>Home</a></ul><{outer}><h1>Title</h1><p>Intro.</p><{inner}>{MOST}</{inner.split('>')[0]}></{outer.split()[0]}><footer>f</footer>")
+    most = " ".join(MOST[3:-4].split())
+    assert page.text(page.vote()[0]) == f"Title\nIntro.\n{most}"
+
+
+def test_host_path_keeps_all_of_a_page(spark):
+    one = f"<body><article><section>{MOST}</section></article>"
+    bare = f"<body><div class=story>{MOST}</div>"
+    pages = [(f"http://c.example/{i}", one) for i in range(3)] + [(f"http://d.example/{i}", bare) for i in range(3)]
+    pages.append(("http://c.example/x", "<body><article><h1>T</h1><section>one</section><section>two</section><section>three</section></article>"))
+    pages.append(("http://d.example/x", "<body><ul><li><a href=x>Home</a></ul><h1><a href=x>T</a></h1><div class=story>one</div><blockquote>q</blockquote><div class=story>two</div><div class=extra>left out by consensus</div>"))
+    out = {r.url: r.text for r in op.extract(rows(spark, pages)).collect()}
+    assert out["http://c.example/x"] == "T\none\ntwo\nthree"
+    assert out["http://d.example/x"] == "T\none\nq\ntwo"
+
+
 def test_broadcast_and_shuffle_agree(spark):
     pages = rows(spark, OTHERS.items())
     a, b = (sorted(map(tuple, op.extract(pages, broadcast_hosts=n).collect())) for n in (100, 0))
