@@ -7,6 +7,10 @@ ever scored, and fewer eligible rows give fewer results.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,22 @@ def admit(df: DataFrame, plan: Plan) -> int:
     return n
 
 
+def _first(query: list[float], metric: str, k: int) -> Callable:
+    """The k nearest of each task's rows (id, vector), in exact order, ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            best = heapq.nsmallest(k, [*best, *((vectors.exact(v, query, metric), i.encode(), v) for i, v in rows)], key=lambda r: r[:2])
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([r[1].decode() for r in best], schema.field(0).type), pa.array([r[2] for r in best], schema.field(1).type)], schema=schema)
+
+    return run
+
+
 def nearest(df: DataFrame, plan: Plan, query: list[float], k: int) -> list[str]:
     """Ids of the k nearest rows, in exact order, ties by id."""
     key, name = column(plan.dataset.id_field), vector_column(plan.spec.id)
@@ -46,8 +66,9 @@ def nearest(df: DataFrame, plan: Plan, query: list[float], k: int) -> list[str]:
     best = scored.orderBy(F.col("score").desc(), key).limit(k).agg(F.min(F.col("score") - F.col("slack")).alias("low")).first()
     if best.low is None:
         return []
-    # ties at the edge are bounded by the admission limit
-    rows = scored.where(F.col("score") + F.col("slack") >= best.low).select(key, name).collect()
+    # however many tie at the edge, a task returns k rows at most
+    near = scored.where(F.col("score") + F.col("slack") >= best.low).select(key, name)
+    rows = near.mapInArrow(_first(query, metric, k), near.schema).collect()
     ranked = sorted((vectors.exact(r[name], query, metric), r[key].encode(), r[key]) for r in rows)
     return [r[2] for r in ranked[:k]]
 
@@ -69,7 +90,8 @@ def ids(spark: SparkSession, plan: Plan, binding: Binding, query: list[float]) -
     if plan.cohort and not released(df, plan):
         return []
     if plan.search["kind"] == "semantic":
-        admit(df, plan)
+        if plan.search["accuracy"] == "exact":
+            admit(df, plan)
         return nearest(df, plan, query, plan.take)
     depth = min(4 * plan.take, 400)
     return vectors.rrf([nearest(df, plan, query, depth), lexical(df, plan, plan.search["lexical"]["text"], depth)], plan.take)

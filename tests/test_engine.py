@@ -1,9 +1,11 @@
 import datetime as dt
 import re
+from types import SimpleNamespace
 
 import pytest
 
 from millrace.engine import Engine
+from millrace.operators.retrieve import nearest
 from millrace.plans.catalog import Catalog, CatalogError, Policy, Scope
 from millrace.sources import sinks
 from millrace.sources.bindings import Binding
@@ -233,6 +235,22 @@ def test_retrieval(engine, spark):
     assert engine.run(retrieve("approximate", "loose"), SCOPE)["determinism"]["semantics"] == "approximate"
 
 
+def test_approximate_retrieval_has_no_admission_limit(engine, spark):
+    tight = Engine(spark, engine.catalog, store=engine.store, exact_limit=2)
+    want = engine.run(retrieve(text="beta beta", take=4), SCOPE)
+    assert ids(tight.run(retrieve("approximate", "loose", text="beta beta", take=4), SCOPE)) == ids(want)
+
+
+def test_ties_come_back_bounded(spark, monkeypatch):
+    rows = [(f"{i:04d}", [float(2 ** (i % 5)), 0.0]) for i in range(3000)] + [("x", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "c_t__id string, e_s__1 array<float>").repartition(3)
+    plan = SimpleNamespace(dataset=SimpleNamespace(id_field="t.id"), spec=SimpleNamespace(id="s@1", metric="cosine"))
+    sizes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    assert nearest(df, plan, [3.0, 0.0], 7) == [f"{i:04d}" for i in range(7)]
+    assert max(sizes) <= 3 * 7
+
+
 def test_hybrid(engine):
     search = {"kind": "hybrid", "semantic": {"using": "note@1", "text": "beta beta", "accuracy": "approximate"}, "lexical": {"field": "bills.note", "text": "beta"}, "fusion": "rrf-v0", "quality": "loose"}
     out = engine.run({"version": "0", "mode": "retrieve", "from": "bills", "select": ["bills.note"], "search": search, "take": 3}, SCOPE)
