@@ -8,7 +8,8 @@ depends on the value and the key alone, so equal values stay linked across
 documents, and different ones stay different.  E-mail addresses and secrets, which
 have no numeric format, get keyed names of the same kind.
 
-Numbers that fail validation are left alone.
+Numbers that fail validation are left alone.  Account numbers have their country's
+length, whatever follows; what fails as one is searched for all other kinds.
 
 Defined results: null stays null; texts without personal data stay as they are,
 byte for byte; repeated rows give equal rows; all other columns pass through; an
@@ -28,17 +29,47 @@ ROUNDS = 8
 # What may stand between two words of a number in tables and noisy texts.
 _GAP = r"(?:[ .\-]|[*&%$#!@|]{0,4} (?:\| )?)"
 _SEPARATE = r"(?![\p{L}\p{N}_])"
+_MARK, _ESCAPED, _ACCOUNT, _FAILED = "\u0001\u0002", "\u0001\u0003", "\u0001\u0004", "\u0001\u0005"
+#: Lengths of account numbers by country, as registered or in use.
+_IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban_body(size: int) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return rf"(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_IBAN_START = rf"(?<![\p{{L}}\p{{N}}_])(?<!{_FAILED})"
+_IBAN = "|".join(rf"(?:{codes.replace(' ', '|')})\d{{2}}{_iban_body(size)}{_SEPARATE}" for size, codes in _IBAN_LENGTHS.items())
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
-    "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _SEPARATE,
+    "iban": _IBAN_START + rf"(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_SEPARATE})",
     "secret": r"(?<![\p{L}\p{N}_])(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9\-]{20,200})" + _SEPARATE,
     "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}_])",
     "date": r"(?<![\p{L}\p{N}_/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{N}_/\-])",
     "ssn": r"(?<![\p{L}\p{N}_\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
-    "card": r"(?<![\p{L}\p{N}_\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})" + _SEPARATE,
+    "card": r"(?<![\p{L}\p{N}_\-])(?:\d{13,19}|\d{4}(?<gap>[ \-])\d{4}\k<gap>\d{4}\k<gap>\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})" + _SEPARATE,
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+\d{1,3}" + _GAP + r"?)?(?:\(\d{3}\)" + _GAP + r"?|\d{3}" + _GAP + r")\d{3}" + _GAP + r"\d{4}" + _SEPARATE + r"|(?<![\p{L}\p{N}_+])\+\d{8,15}" + _SEPARATE,
 }
-_MARK, _ESCAPED = "\u0001\u0002", "\u0001\u0003"
 
 
 def _round(key: Column, tweak: Column, i: Column, value: Column) -> Column:
@@ -161,6 +192,11 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(F.split(x, ""), F.lit(0), lambda acc, c: _let(value(c), lambda v: (acc * F.when(v > 9, 100).otherwise(10) + v) % 97))
 
 
+def _iban_valid(plain: Column) -> Column:
+    size = F.length(_digits(F.substring(plain, F.lit(5), F.length(plain) - 4)))
+    return (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))) == 1) & size.between(4, 30)
+
+
 def _iban(x: Column, key: Column) -> Column:
     def moved(plain: Column) -> Column:
         country, own = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
@@ -171,7 +207,7 @@ def _iban(x: Column, key: Column) -> Column:
             check = F.lpad((98 - _mod97(F.concat(f, country, F.lit("00")))).cast("string"), 2, "0")
             return _refilled(x, _digits(F.concat(check, f)))
 
-        return F.when((_mod97(F.concat(own, country, F.substring(plain, 3, 2))) == 1) & F.length(number).between(4, 30), _let(fresh, whole)).otherwise(x)
+        return F.when(_iban_valid(plain), _let(fresh, whole)).otherwise(x)
 
     return _let(F.replace(x, F.lit(" "), F.lit("")), moved)
 
@@ -195,11 +231,36 @@ _MOVES = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "date":
 _ANY = r"[0-9@]|AKIA|gh[pousr]_|sk-"
 
 
+_CUT = f"{_ACCOUNT}(?<account>[^\u0001]*+){_ACCOUNT}|(?<other>" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+
+
+def _cut(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, _CUT, f"{_MARK}${{account}}${{other}}{_MARK}"), _MARK, -1)
+
+
+def _accounts(text: Column) -> Column:
+    """The text with valid account numbers between marks, and a mark before each candidate that fails, from where the search has gone on."""
+    is_iban = lambda x: x.rlike(f"^(?:{KINDS['iban']})$") & ~x.rlike(f"^(?:{KINDS['email']})$")
+
+    def judged(x: Column) -> Column:
+        good = _iban_valid(F.replace(x, F.lit(" "), F.lit("")))
+        return F.when(is_iban(x), F.when(good, F.concat(F.lit(_ACCOUNT), x, F.lit(_ACCOUNT))).otherwise(F.concat(F.lit(_FAILED), x))).otherwise(x)
+
+    def step(acc: Column, _: Column) -> Column:
+        def put(cut: Column) -> Column:
+            return _let(F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, judged(x)).otherwise(x)), ""), lambda t: F.struct(t.alias("s"), (t != acc["s"]).alias("more")))
+
+        return F.when(acc["more"], _let(_cut(acc["s"]), put)).otherwise(acc)
+
+    # every round but the last fails one candidate at least
+    rounds = F.regexp_count(text, F.lit(_IBAN_START + r"[A-Z]{2}\d{2}(?= ?[A-Z0-9])"))
+    return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), rounds), F.struct(text.alias("s"), F.lit(True).alias("more")), step)["s"]).otherwise(text)
+
+
 def parts(text: Column) -> Column:
     """The text cut at everything that looks personal: odd places hold the candidates."""
     escaped = F.replace(text, F.lit("\u0001"), F.lit(_ESCAPED))
-    marked = F.regexp_replace(escaped, "|".join(f"(?:{p})" for p in KINDS.values()), f"{_MARK}$0{_MARK}")
-    return F.when(text.rlike(_ANY), F.split(marked, _MARK, -1)).when(text.isNotNull(), F.array(text))
+    return F.when(text.rlike(_ANY), _let(_accounts(escaped), _cut)).when(text.isNotNull(), F.array(text))
 
 
 def kind_of(x: Column) -> Column:
@@ -228,7 +289,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_
     own = [c for c in docs.columns]
     with_parts = docs.withColumn(cut, parts(F.col(f"`{text_col}`")))
     moved = with_parts.withColumn(new, F.transform(cut, lambda x, i: F.when(i % 2 == 1, pseudonym(x, k)).otherwise(x)))
-    text = F.replace(F.array_join(new, ""), F.lit(_ESCAPED), F.lit("\u0001"))
+    text = F.replace(F.replace(F.array_join(new, ""), F.lit(_FAILED), F.lit("")), F.lit(_ESCAPED), F.lit("\u0001"))
     out = [F.when(F.size(cut) > 1, text).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
     if count_col:
         changed = F.aggregate(F.arrays_zip(F.col(cut).alias("a"), F.col(new).alias("b")), F.lit(0).cast("long"), lambda acc, z: acc + F.when(z["a"] != z["b"], 1).otherwise(0))

@@ -32,6 +32,29 @@ def test_formats_stay_valid(spark):
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone)
 
 
+IBANS = ["ES91 2100 0418 4502 0005 1332", "BE68539007547034", "PL61 1090 1014 0000 0712 1981 2874", "GB29 NWBK 6016 1331 9268 19"]
+
+
+def test_account_numbers_before_other_words(spark):
+    texts = [f"{a} {after}" for a in IBANS for after in ("EUR", "PAID", "2024", "GB29 NWBK 6016 1331 9268 19", "EUR 4111 1111 1111 1111")]
+    for text, (out, n) in zip(texts, run(spark, texts), strict=True):
+        own = next(a for a in IBANS if text.startswith(a))
+        rest = text[len(own) :]
+        assert n == (1 if len(rest) <= 5 else 2) and not any(x in out for x in [*IBANS, "4111 1111 1111 1111"])
+        moved = out[: len(own)].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1
+        assert len(rest) > 5 or out.endswith(rest)
+
+
+def test_failed_account_numbers_are_searched(spark):
+    texts = ["\x01 AB12 4111 1111 1111 1111", "AB12 3456 7890 GB29 NWBK 6016 1331 9268 19 \x01", "AB12" + "CDEF0123" * 4, "AB12 3456 7890 1111 2222 3333 4111 1111 1111 1111"]
+    out = run(spark, texts)
+    assert [n for _, n in out[:3]] == [1, 1, 1]
+    assert out[0][0].startswith("\x01 AB12 4") and "4111 1111" not in out[0][0]
+    assert out[1][0].startswith("AB12 3456 7890 GB") and "6016" not in out[1][0] and out[1][0].endswith(" \x01")
+    assert out[2][0] != texts[2] and not any(c in "\x02\x03\x04\x05" for t, _ in out for c in t)
+
+
 def test_equal_values_stay_linked_and_others_apart(spark):
     cards = []
     for k in range(200):
