@@ -11,7 +11,9 @@ may miss m words is looked up from its m + 1 rarest places, one of which is ther
 
 Defined results: null and empty texts have no words and no hits; items without
 words are never found; items of fewer words than a window are one window;
-repeated items count once by id; repeated documents give repeated rows; an empty
+repeated items count once by id; items without an id hit words like any other and
+count together as one item, null among `items` and left out of their hash, as in the
+SQL; repeated documents give repeated rows; an empty
 table gives an empty result.  Only the named columns are read.
 """
 
@@ -35,8 +37,8 @@ ITEMS_A_BLOCK = 20_000
 class Tests:
     """A block of test items as windows over a vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, vocabulary: np.ndarray):
-        names = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, str]], window: int, vocabulary: np.ndarray):
+        names = sorted({i for i, _ in items}, key=lambda i: (i is not None, i))  # null first
         self.names = names
         place = {x: k for k, x in enumerate(names)}
         words = tv.Words(pa.array([t or "" for _, t in items], pa.large_string()), places=False)
@@ -213,7 +215,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """One row per document: id, n_words, n_hit, items (found exactly), near_items (found in at least `near` of a window's words), spans (word place and length of each match)."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    tests_df = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("t")).where("item is not null")
+    tests_df = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("t"))
     blocks = max(1, -(-tests_df.count() // ITEMS_A_BLOCK))
     # 8 bytes for each distinct word of the benchmark
     vocabulary = np.sort(np.array([r.w for r in tests_df.select("t").mapInArrow(_words, "w long").distinct().collect()], dtype=np.int64).view(np.uint64))
@@ -224,7 +226,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         frequency[term] = n
     found = []
     for block in range(blocks):
-        mine = tests_df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        mine = tests_df.where(F.pmod(F.xxhash64(F.coalesce("item", "t")), F.lit(blocks)) == block)
         tests = Tests([(r.item, r.t) for r in mine.collect()], window, vocabulary)  # one block of test items
         tests.order(frequency, near)
         found.append(index.mapInArrow(_match(tests), f"id {kind}, row long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<at:long,words:long>>"))

@@ -54,6 +54,19 @@ def test_blocks_of_items(spark, monkeypatch, block):
     check(odd(spark), bench_of(spark, [(1, SENTENCE), (2, "One"), (3, "lorem ipsum dolor sit amet lorem ipsum"), (4, "fox jumps over"), (5, "brown fox jumps over the")]))
 
 
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_items_without_an_id(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "ITEMS_A_BLOCK", block)
+    items = [(None, "quick brown fox"), (None, "lorem ipsum dolor sit amet " * 4), (None, None), (1, "fox jumps over"), (2, "seven wizards"), (3, "one two three")]
+    docs = odd(spark)
+    want = brute(texts(docs), items)  # names the items without an id None
+    found = op.search(docs, bench_of(spark, items))
+    got = sorted(map(tuple, op.digest(found).collect()), key=str)
+    assert [r[:4] + r[5:] for r in got] == [r[:4] + r[5:] for r in want] and any(r[3] == 3 for r in got)
+    named = {hashlib.sha256(",".join(sorted(i for i in r["items"] if i is not None)).encode()).hexdigest() for r in found.collect()}
+    assert {r[4] for r in got} == named and all(r["items"].count(None) <= 1 for r in found.collect())
+
+
 def test_proximity_matches(spark):
     w = SENTENCE.split()
     changed = " ".join([*w[:6], "slowly", *w[7:]])
