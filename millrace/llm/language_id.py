@@ -187,18 +187,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("key", id_col)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 1.0) -> DataFrame:
-    """The documents whose language is known, with all their columns; texts stay where they are."""
-    place = docs.columns.index(text_col)
-
+def _accepted(place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.sliced(batches, place, 1 << 20):
-            column = batch.column(place).fill_null("")
-            if model.langs:
-                _, _, _, words = mixtures(model, column, penalty=penalty)
-                yield batch.filter(pa.array(_has_letter(column) & (words > 0)))
+            yield batch.filter(pa.array(_has_letter(batch.column(place).fill_null(""))))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents whose language isn't ``und``, with all their columns; texts stay where they are.
 
-    return docs.mapInArrow(run, docs.schema)
+    That is decided by a letter alone, so no mixture is inferred; if nothing was learned, none is left.
+    """
+    return docs.mapInArrow(_accepted(docs.columns.index(text_col)), docs.schema) if model.langs else docs.limit(0)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

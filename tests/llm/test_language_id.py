@@ -56,3 +56,16 @@ def test_accepted_keeps_columns_and_rows(spark):
     out = op.accepted(docs, model_of(spark, documents(spark)))
     assert out.schema == docs.schema
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([5, 6, 7, 7, None, 8, 9, 10, 11], key=str)
+
+
+def test_accepted_infers_no_mixture(monkeypatch):
+    monkeypatch.setattr(op, "mixtures", None)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["12 a", "12 é", "12 !", "", None]})
+    assert [b.column(0).to_pylist() for b in op._accepted(1)(iter([batch]))] == [[1, 2]]
+
+
+def test_accepted_is_what_has_a_predicted_language(spark):
+    docs = odd(spark, [row(20, "12345 67"), row(21, "— … €"), row(22, "1 é 2")])
+    for model in (model_of(spark, documents(spark)), op.fit(docs.where("lang = 'none'"))):
+        known = op.predict(docs, model).where("lang_pred <> 'und'")
+        assert sorted((r.doc_id for r in op.accepted(docs, model).collect()), key=str) == sorted((r.doc_id for r in known.collect()), key=str)
