@@ -16,17 +16,30 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("On a cluster spark.checkpoint.dir must name a folder that the driver and all executors share.")
         app = spark.sparkContext.applicationId
         named = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return named.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors cost no recomputation."""
+#: Rows of a few numbers worth a task of their own.
+ROWS_A_TASK = 50_000
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lost executors cost no recomputation.
+
+    With `rows`, about how many df has at most, it is written by no more tasks than those rows and the cores are worth.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+        if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
     path = f"{folder(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _KEPT.append((spark, path))
@@ -39,10 +52,21 @@ def keep(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, kept; to be broadcast if it has no more than `rows` rows, else joined by a shuffle that can split hot keys."""
-    kept = keep(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, kept; to be broadcast if it has no more than BROADCAST_ROWS rows, else joined by a shuffle that can split hot keys.
+
+    `rows` is as for `keep`.
+    """
+    kept = keep(df, rows)
+    return F.broadcast(kept) if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else kept
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that none of df's columns has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def drop(*tables: DataFrame) -> None:
