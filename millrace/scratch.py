@@ -93,7 +93,7 @@ def _sweep() -> None:
 
 
 #: Rows and bytes that Spark hands to a Python worker at once; long texts fill a batch by bytes.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
