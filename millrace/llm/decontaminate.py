@@ -30,8 +30,12 @@ from pyspark.sql import functions as F
 from .. import scratch
 from . import textvec as tv
 
-#: Test items per block: the lookup tables sent to executors stay below a few MB, more items take more rounds over the index.
+#: Most test items and bytes of their texts in a block (one item at least).  A word of an item takes some 130 bytes of the
+#: lookup tables that each Python worker holds, so a block takes about 40 MB; more items take more rounds over the index.
 ITEMS_A_BLOCK = 20_000
+BYTES_A_BLOCK = 2 << 20
+#: Words of documents whose postings are worked on at once (one document at least).
+WORDS_A_SEGMENT = 250_000
 
 
 class Tests:
@@ -43,25 +47,27 @@ class Tests:
         place = {x: k for k, x in enumerate(names)}
         words = tv.Words(pa.array([t or "" for _, t in items], pa.large_string()), places=False)
         ids = np.searchsorted(vocabulary, words.hash)
-        seen: dict[tuple, set] = {}
-        for (name, _), a, b in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            for s in range(a, max(a + 1, b - window + 1)) if b > a else ():
-                seen.setdefault(tuple(ids[s : min(b, s + window)].tolist()), set()).add(place[name])
-        #: distinct windows, and the items each belongs to
-        self.windows = [np.array(w, dtype=np.int32) for w in seen]
-        self.items = [np.array(sorted(x)) for x in seen.values()]
+        counts = words.counts
+        room = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+        start = np.repeat(words.first[:-1], room) + np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
+        length = np.repeat(np.minimum(counts, window), room)
+        owner = np.repeat(np.array([place[i] for i, _ in items], dtype=np.int64), room)
+        size = int(length.max(initial=1))
+        terms = np.full((len(start), size), -2, dtype=np.int32)
+        for k in range(size):
+            live = k < length
+            terms[live, k] = ids[start[live] + k]
+        #: distinct windows, their words (-2 beyond their length), and the items each belongs to
+        self.windows, which = np.unique(terms, axis=0, return_inverse=True)
+        own = np.unique(which.ravel() * max(1, len(names)) + owner)
+        self.item, self.item_from = own % max(1, len(names)), np.searchsorted(own // max(1, len(names)), np.arange(len(self.windows) + 1))
 
     def order(self, frequency: np.ndarray, near: float) -> None:
         """Fix each window's order of lookup: rarest terms first; pivots, one place more than may be missed, are grouped by their term."""
-        size = max((len(w) for w in self.windows), default=1)
-        count = len(self.windows)
-        self.length = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.places = np.zeros((count, size), dtype=np.int64)
-        self.terms = np.full((count, size), -2, dtype=np.int32)
-        for k, w in enumerate(self.windows):
-            by = np.argsort(frequency[w], kind="stable")
-            self.places[k, : len(w)] = by
-            self.terms[k, : len(w)] = w[by]
+        self.length = (self.windows >= 0).sum(axis=1)
+        rarity = np.where(self.windows >= 0, frequency[np.maximum(self.windows, 0)] if len(frequency) else 0, np.iinfo(np.int64).max)
+        by = np.argsort(rarity, axis=1, kind="stable")
+        self.places, self.terms = by.astype(np.int16), np.take_along_axis(self.windows, by, axis=1)
         self.allowed = np.minimum(np.floor(self.length * (1 - near) + 1e-9).astype(np.int64), self.length - 1)
         of_rank = [np.flatnonzero(self.allowed >= k) for k in range(int(self.allowed.max(initial=0)) + 1)]
         window, rank = np.concatenate(of_rank), np.repeat(np.arange(len(of_rank)), [len(x) for x in of_rank])
@@ -70,6 +76,9 @@ class Tests:
         self.pivots, self.pivot_from = np.unique(self.terms[self.by_pivot, self.rank], return_index=True)
         self.pivot_to = np.append(self.pivot_from[1:], len(by))
 
+    def items_of(self, window: int) -> list[int]:
+        return self.item[self.item_from[window] : self.item_from[window + 1]].tolist()
+
 
 def _ids_of(vocabulary: np.ndarray, named: np.ndarray) -> np.ndarray:
     if not len(vocabulary):
@@ -108,12 +117,23 @@ def _build(vocabulary: np.ndarray):
     return run
 
 
+def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The index rows (id, n_words, ...) of a batch in runs of about WORDS_A_SEGMENT words."""
+    ends = np.cumsum(batch.column(1).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + WORDS_A_SEGMENT, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                terms = whole.column(0).slice(at, 512)
+            for batch in _segments(whole):
+                terms = batch.column(2)
                 flat = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 doc = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
                 total += np.bincount(np.unique(doc * size + flat) % size, minlength=size)
@@ -126,8 +146,7 @@ def _frequencies(size: int):
 def _match(tests: Tests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in _segments(whole):
                 n_words = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 first = np.concatenate([[0], np.cumsum(n_words)])
                 lists = batch.column(2)
@@ -147,11 +166,11 @@ def _match(tests: Tests):
                 items: dict[int, set] = {}
                 spans: dict[int, set] = {}
                 for d, w, s in zip(doc.tolist(), window.tolist(), start.tolist(), strict=True):
-                    items.setdefault(d, set()).update(tests.items[w].tolist())
+                    items.setdefault(d, set()).update(tests.items_of(w))
                     spans.setdefault(d, set()).add((s - int(first[d]), int(tests.length[w])))
                 close: dict[int, set] = {}
                 for d, w in zip((np.searchsorted(first, close_start, "right") - 1).tolist(), close_window.tolist(), strict=True):
-                    close.setdefault(d, set()).update(tests.items[w].tolist())
+                    close.setdefault(d, set()).update(tests.items_of(w))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -216,13 +235,14 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     tests_df = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("t"))
-    blocks = max(1, -(-tests_df.count() // ITEMS_A_BLOCK))
+    items, size = tests_df.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
+    blocks = max(1, -(-items // ITEMS_A_BLOCK), -(-(size or 0) // BYTES_A_BLOCK))
     # 8 bytes for each distinct word of the benchmark
     vocabulary = np.sort(np.array([r.w for r in tests_df.select("t").mapInArrow(_words, "w long").distinct().collect()], dtype=np.int64).view(np.uint64))
     index = texts.mapInArrow(_build(vocabulary), f"id {kind}, n_words long, terms array<int>, places array<int>")
     index = scratch.keep(index.withColumn("row", F.monotonically_increasing_id()))
     frequency = np.zeros(len(vocabulary), dtype=np.int64)
-    for term, n in index.select("terms").mapInArrow(_frequencies(max(1, len(vocabulary))), "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # one row a word of the vocabulary
+    for term, n in index.select("id", "n_words", "terms").mapInArrow(_frequencies(max(1, len(vocabulary))), "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # one row a word of the vocabulary
         frequency[term] = n
     found = []
     for block in range(blocks):
