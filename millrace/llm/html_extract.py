@@ -20,10 +20,12 @@ columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,13 +39,15 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINERS = frozenset("article blockquote body center div main section table tbody td tr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("aside button canvas datalist dialog fieldset footer form header menu nav object select video audio head".split())
 # Class, id and role words of boilerplate.
 _BOILER = frozenset(
     "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What may stand beside a boilerplate word in a class name; other words make another name of it ("share-price").
+_PLACES = frozenset("area bar block body bottom box btn button buttons col column container content entry fixed global group inner item items left link links list main middle module outer page panel post primary right row secondary section site slot sticky sub text title top unit wrap wrapper".split())
 #: Elements whose links are text like any other.
 _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote dd dt figcaption".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -75,7 +79,13 @@ def _boilerplate(name: str, attributes: dict[str, str]) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    return any(w in _BOILER for k in ("class", "id", "role") for w in _WORD.findall(attributes.get(k, "").lower()))
+    return any(_names_boilerplate(token) for k in ("class", "id", "role") for token in attributes.get(k, "").lower().split())
+
+
+@lru_cache(100_000)
+def _names_boilerplate(token: str) -> bool:
+    words = _WORD.findall(token)
+    return any(w in _BOILER for w in words) and all(w in _BOILER or w in _PLACES for w in words)
 
 
 def _step(name: str, attributes: dict[str, str]) -> str:
@@ -84,6 +94,14 @@ def _step(name: str, attributes: dict[str, str]) -> str:
     return ".".join([name, *classes])
 
 
+#: Characters of a path; of a longer one a hash stands for the beginning, so that deep nesting stays linear.
+_PATH = 2_000
+
+
+def _path(parent: str, step: str) -> str:
+    return f"{parent}/{step}" if len(parent) < _PATH else f"#{hashlib.sha256(parent.encode()).hexdigest()[:24]}/{step}"
+
+
 class Page:
     """One pass over a page: containers with what they hold, and blocks of text with their container."""
 
@@ -91,6 +109,7 @@ class Page:
         self.nodes = [Node("", -1, False, "")]
         self.blocks: list[tuple[int, str]] = []
         self._stack = [0]
+        self._where: dict[str, list[int]] = {}  # places in the stack by name
         self._buffer: list[str] = []
         self._skipped: list[str] = []  # open inline elements of boilerplate
         self._link = 0
@@ -125,28 +144,31 @@ class Page:
                 self._close(other, until)
         up = self._stack[-1]
         parent = self.nodes[up]
-        path = f"{parent.path}/{_step(name, attributes)}" if name in _CONTAINERS else parent.path
+        path = _path(parent.path, _step(name, attributes)) if name in _CONTAINERS else parent.path
         self.nodes.append(Node(path, up, parent.skip or _boilerplate(name, attributes), name))
         if name != "hr":
+            self._where.setdefault(name, []).append(len(self._stack))
             self._stack.append(len(self.nodes) - 1)
 
     def _close(self, name: str, until: tuple[str, ...] = ()) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            own = self.nodes[self._stack[k]].name
-            if own == name:
-                self._flush()
-                del self._stack[k:]
-                self._skipped.clear()
-                return
-            if own in until:
-                return
+        """Close the innermost open element of this name and all in it, unless one of `until` stands in between."""
+        at = self._where.get(name)
+        if not at or any(self._where.get(other, [0])[-1:] > at[-1:] for other in until):
+            return
+        self._flush()
+        to = at[-1]
+        while len(self._stack) > to:
+            self._where[self.nodes[self._stack.pop()].name].pop()
+        self._skipped.clear()
 
     def _read(self, source: str) -> None:
-        at = 0
-        while m := _TAG.search(source, at):
+        at, last = 0, source.rfind(">") + 1  # beyond the last > there are no tags to look for
+        while m := _TAG.search(source, at, last):
             if m.start() > at:
                 self._say(source[at : m.start()])
             at = m.end()
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(source)
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
@@ -180,7 +202,7 @@ class Page:
             elif name == "a":
                 self._link += 1
         if at < len(source):
-            self._say(source[at:])
+            self._say(source[at:].split("<!--")[0])
         self._flush()
 
     def masses(self) -> list[float]:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -88,5 +89,44 @@ def test_boilerplate_elements():
     assert page.text(page.vote()[0]) == "Keep it\nEnd"
 
 
+def test_three_sections_of_a_path(spark):
+    part = "<section class=part>" + "words of this part " * 20 + "</section>"
+    pages = [(f"http://s.example/{i}", f"<body><main>{part}</main>") for i in range(3)] + [("http://s.example/x", f"<body><main>{part * 3}</main><footer>f</footer>")]
+    out = {r.url: r.text for r in op.extract(rows(spark, pages)).collect()}
+    assert out["http://s.example/x"] == "\n".join([("words of this part " * 20).strip()] * 3)
+
+
+@pytest.mark.parametrize("kept", ["<p class=share-price>1 EUR</p>", "<div class='notice-period'>two weeks</div>", "<div id=search-theory>found</div>", "<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p>"])
+def test_names_that_only_look_like_boilerplate(kept):
+    page = op.Page(f"<body><article><p>Begin</p>{kept}<p>End</p></article>")
+    assert page.text(page.vote()[0]).split("\n")[1] == "".join(op.html.unescape(x) for x in op.re.split("<[^>]*>", kept))
+
+
+@pytest.mark.parametrize("left_out", ["<div class=site-header>x</div>", "<ul class='comment-list'><li>x</ul>", "<div class=ad1>x</div>", "<div id=sidebar-right>x</div>", "<div class='post-comments'>x</div>"])
+def test_boilerplate_names_with_places(left_out):
+    page = op.Page(f"<body><article><p>Begin</p>{left_out}<p>End</p></article>")
+    assert page.text(page.vote()[0]) == "Begin\nEnd"
+
+
+@pytest.mark.parametrize(
+    "hostile",
+    ["<div>" * 100_000 + "</p>" * 100_000, "<td><table>" + "<div>" * 50_000 + "<th></th>" * 50_000, "<ul><li>" * 30_000 + "</dd>" * 30_000, "<section class=a>" * 30_000 + "</i>" * 30_000, "<p>" + "<a '" * 100_000],
+    ids=["stray", "table", "lists", "paths", "quotes"],
+)
+def test_hostile_markup_takes_linear_time(hostile):
+    began = time.process_time()
+    page = op.Page(f"<body><article><p>Begin</p></article>{hostile}")
+    page.text(page.vote()[0])
+    assert time.process_time() - began < 30
+
+
+def test_clashing_columns_and_tied_votes(spark):
+    pages = [(i, f"http://t.example/{i}", f"<body><div class={'ab'[i % 2]}>text {i}</div>", "x", "y", "z") for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, id string, path string, host string")
+    assert [r.path for r in op.consensus(df).collect()] == ["/body/div.a"]
+    out = sorted(map(tuple, op.extract(df).select("page_id", "text", "path").collect()))
+    assert out == [(i, f"text {i}", f"/body/div.{'ab'[i % 2]}") for i in range(4)]
+
+
 def test_empty_table(spark):
     assert op.extract(rows(spark, [])).count() == 0
