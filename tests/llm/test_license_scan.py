@@ -1,3 +1,5 @@
+import math
+
 from millrace.llm import license_scan as op
 
 from .common import documents, empty, odd, row, texts, words
@@ -39,5 +41,31 @@ def test_odd_rows(spark):
     assert by[22].labels == ""
 
 
+def test_labels_and_score_against_brute_force(spark):
+    whole = [notice for _, notice, _ in op.WHOLE]
+    broken = whole[0].replace("sublicense", "sell").replace("charge", "cost")
+    extra = [row(30 + k, t) for k, t in enumerate([*whole, broken, "x " * 50 + whole[1] + " y", whole[2][:300], whole[4][40:], " ".join(whole)])]
+    docs = odd(spark, extra)
+    found = {id(t): t for t in op.templates()}.values()
+    every = [words(t) for _, t in texts(docs)]
+    idf = {w: math.log((len(every) + 1) / (sum(w in set(d) for d in every) + 1.0)) + 1e-3 for t in found for w in t.words}
+    want = []
+    for (name, _), d in zip(texts(docs), every, strict=True):
+        labels, score = set(), 0.0
+        for t in found:
+            phrase = list(t.words[t.key : t.key + t.key_words])
+            for k in range(len(d) - len(phrase) + 1):
+                if d[k : k + len(phrase)] != phrase:
+                    continue
+                at = k - t.key
+                share = sum(idf[w] for i, w in enumerate(t.words) if 0 <= at + i < len(d) and d[at + i] == w) / sum(idf[w] for w in t.words)
+                if t.base or share >= 0.8:
+                    labels.add(t.label)
+                    score = max(score, 1.0 if t.key_words == len(t.words) else share)
+        want.append((name, ",".join(sorted(labels)), round(min(score, 1.0), 9)))
+    got = [(r.doc_id, r.labels, round(r.score, 9)) for r in op.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {x for r in want for x in r[1].split(",")} >= {"mit", "isc", "bsd", "apache", "gpl"}
+
+
 def test_empty_table(spark):
     assert op.scan(empty(spark)).count() == 0
