@@ -28,6 +28,10 @@ THRESHOLD = _LEAST + (1 << 64) // SCALE
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ranges of ids that a column expression tells apart; each is cut evenly into as many as are needed.
 RANGES = 64
+#: Bytes of texts that go into a range, about; a range is one window, and the driver keeps a row for each.
+RANGE_BYTES = 128 << 20
+#: An id with more than this share of the rows, and more than HOT_ROWS, is cut into ranges of its own, by its texts' hashes.
+HOT_SHARE, HOT_ROWS = 1 / 64, 1_000
 
 
 def words(text: Column) -> Column:
@@ -100,20 +104,36 @@ def _ranges(docs: DataFrame, parts: int) -> Column:
     return F.coalesce(cut(0, len(edges)), F.lit(-1))
 
 
+#: Range numbers leave room for this many ranges of hot ids within one.
+_FINEST = 1 << 32
+
+
+def _within(docs: DataFrame, rows: int, parts: int) -> Column:
+    """Number within a range, in the order of descending ids: more than one only where the range holds a hot id."""
+    key = F.coalesce("id", F.lit(_LEAST))
+    hot = docs.groupBy(key.alias("id")).count().where(F.col("count") > max(HOT_ROWS, HOT_SHARE * rows)).collect()  # 64 ids at most
+    out = F.lit(0).cast("long")
+    for r in sorted(hot, reverse=True):
+        slice_ = 1 + F.floor((F.xxhash64("text") / 2.0**64 + 0.5) * parts).cast("long")
+        out = out + F.when(key == r.id, slice_).when(key < r.id, F.lit(parts + 2).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Each document with the next one's text and sketch, by descending id; the last one's next is the first.
 
     One shuffle of the texts, by ranges of ids; each range also gets a copy of the document that follows its last.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.withColumn("range", _ranges(docs, parts)).withColumn("tie", F.xxhash64("text"))
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
+    ranged = docs.withColumn("tie", F.xxhash64("text")).withColumn("range", _ranges(docs, parts).cast("long") * _FINEST - _within(docs, rows, parts))
     heads = ranged.groupBy("range").agg(F.max(F.struct(F.coalesce("id", F.lit(_LEAST)).alias("id"), (-F.col("tie")).alias("tie"))).alias("head")).select("range", "head.*")
     follows = sorted(((r.range, r.id, -r.tie) for r in heads.collect()), reverse=True)  # one row a range
     if not follows:
         return docs.select("id", "text", F.col("text").alias("next"), F.array().cast("array<bigint>").alias("sketch"), F.array().cast("array<bigint>").alias("next_sketch"))
     copies = [(own[0], after[1], after[2]) for own, after in zip(follows, follows[1:] + follows[:1], strict=True)]
-    wanted = F.broadcast(spark.createDataFrame(copies, "to int, of_id long, of_tie long"))  # one row a range
+    wanted = F.broadcast(spark.createDataFrame(copies, "to long, of_id long, of_tie long"))  # one row a range
     same = (F.coalesce(F.col("id"), F.lit(_LEAST)) == F.col("of_id")) & (F.xxhash64("text") == F.col("of_tie"))
     copied = docs.join(wanted, same).dropDuplicates(["to"]).select("id", "text", F.col("to").alias("range"), F.lit(True).alias("copy"))
     both = ranged.select("id", "text", "range", F.lit(False).alias("copy")).unionByName(copied)

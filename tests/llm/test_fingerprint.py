@@ -45,6 +45,24 @@ def test_the_next_document_over_many_ranges(spark, monkeypatch):
     assert got == {i: sha for i, (_, sha, _, _) in brute(rows).items()}
 
 
+def test_hot_ids_are_cut_by_text(spark, monkeypatch):
+    monkeypatch.setattr(op, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(op, "HOT_ROWS", 10)
+    monkeypatch.setattr(op, "RANGES", 3)
+    pick = random.Random(4)
+    ids = [None] * 60 + [5] * 60 + [7] * 40 + [*range(-20, 60)]
+    rows = [(i, f"text {k} " + " ".join(str(pick.random()) for _ in range(pick.randrange(20)))) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = df.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).collect()
+    want = []
+    for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        k = len(a.text) // 3
+        want.append((a.doc_id, hashlib.sha256((a.text[: len(a.text) - k] + b.text[:k]).encode()).hexdigest()))
+    own = df.select(F.col("doc_id").alias("id"), "text")
+    assert own.select(op._within(own, len(rows), 16).alias("w")).distinct().count() > 20
+    assert sorted(((r.doc_id, r.edited_sha256) for r in op.fingerprints(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_equal_texts_and_odd_rows(spark):
     out = op.fingerprints(odd(spark)).collect()
     assert len(out) == odd(spark).count()
