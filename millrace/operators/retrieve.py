@@ -29,7 +29,7 @@ def _eligible(spark: SparkSession, plan: Plan, binding: Binding, more: set[str]
 def admit(df: DataFrame, plan: Plan) -> int:
     """How many rows are eligible; refuses above the limit, before any vector is read."""
     limit = plan.exact_limit
-    n = df.select(column(plan.dataset.id_field)).limit(limit + 1).count()
+    n = df.select(column(plan.dataset.id_field)).count()
     if n > limit:
         phrases = ["Add a selective where predicate.", "Request approximate accuracy if policy permits."]
         raise refuse("EXACT_SCAN_LIMIT_EXCEEDED", "/search/accuracy", phrases, {"limit": limit, "eligibleCount": n, "alternatives": phrases})

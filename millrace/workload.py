@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def catalog(timezone: str = "UTC", week: str = "monday", fiscal: str = "00:00:00
     orders = _dataset("orders", [_enum("orders.status", "F O P"), _field("orders.total", "decimal", **amount), _field("orders.placed", "instant", precision="second"), _field("orders.priority", "text"), _field("orders.customer", "integer")])
     customers = _dataset("customers", [_field("customers.name", "text"), _field("customers.balance", "decimal", True, **amount), _field("customers.segment", "text"), _field("customers.nation", "integer")])
     texts = _dataset("texts", [_field("texts.body", "text"), _field("texts.lang", "text"), _field("texts.size", "integer")])
-    items = _dataset("items", [_field("items.label", "integer"), _field("items.body", "text")], embeddings={m: f"{m}@1" for m in ("cosine", "dot", "near")})
+    items = _dataset("items", [_field("items.label", "integer"), _field("items.body", "text", True)], embeddings={m: f"{m}@1" for m in ("cosine", "dot", "near")})
     nations = _dataset("nations", [_field("nations.name", "text"), _field("nations.region", "integer")])
     spec = lambda name, metric: {"id": f"{name}@1", "sourceFields": ["items.body"], "inputTransform": "plain-v1", "model": {"id": "hashed", "revision": "1"}, "dimension": 64, "metric": metric, "vectorEncoding": "float32", "chunking": "none", "privacyClass": "public"}
     return Catalog.load(
@@ -71,8 +72,8 @@ def catalog(timezone: str = "UTC", week: str = "monday", fiscal: str = "00:00:00
 def bindings(sf_dir: str) -> dict[str, Binding]:
     table = lambda name: lambda spark: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def items(spark: SparkSession) -> DataFrame:
-        return table("embeddings")(spark).join(table("documents")(spark), F.col("vec_id") == F.col("doc_id"))
+    def items(spark: SparkSession) -> DataFrame:  # all vectors; only lexical search reads the texts
+        return table("embeddings")(spark).join(table("documents")(spark), F.col("vec_id") == F.col("doc_id"), "left")
 
     vector = dict.fromkeys(("cosine@1", "dot@1", "near@1"), "embedding")
     return {
@@ -263,8 +264,36 @@ _bucket_query("c3_week_sunday", "week", "date_trunc('day', moment) - CAST(extrac
 _bucket_query("c4_month", "month", "date_trunc('month', moment)", "s + INTERVAL 1 MONTH", "strftime(s, '%Y-%m')")
 _bucket_query("c8_day_fixed_offset", "day", "date_trunc('day', moment + INTERVAL '5 hours 30 minutes') - INTERVAL '5 hours 30 minutes'", "s + INTERVAL 1 DAY", "strftime(s + INTERVAL '5 hours 30 minutes', '%Y-%m-%d')", timezone="+05:30")
 
+# Order days of New York over years, with its clock changes; the day starts at a time that is left out in spring.
+_SPRING = "CAST(make_date(year({0}), 4, 1) + CAST((7 - dayofweek(make_date(year({0}), 4, 1))) % 7 AS INTEGER) AS DATE)"
+_FALL = "CAST(make_date(year({0}), 10, 31) - CAST(dayofweek(make_date(year({0}), 10, 31)) AS INTEGER) AS DATE)"
+
+
+def _gap_start(day: str) -> str:
+    """SQL of the UTC instant of 02:30 in New York (rules of 1987 to 2006), or of the end of the gap over it."""
+    spring, fall = _SPRING.format(day), _FALL.format(day)
+    return f"(CAST({day} AS TIMESTAMP) + CASE WHEN {day} = {spring} THEN INTERVAL 420 MINUTE WHEN {day} > {spring} AND {day} < {fall} THEN INTERVAL 390 MINUTE ELSE INTERVAL 450 MINUTE END)"
+
+
+def _order_days(name: str, direction: str, take: int, tail: str) -> None:
+    dim = {"kind": "timeBucket", "field": "orders.placed", "grain": "fiscalDay", "id": "period"}
+    query = _group("orders", [dim], [_metric("n", "count"), _metric("total", "sum", "orders.total")], [{"by": "period", "dir": direction}], take)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, timezone="America/New_York", fiscal="02:30:00")
+        plan = e.compile(query, Scope.open())
+        return plain(aggregate.period_columns(e.frame(plan), plan, "period"))
+
+    QUERIES[name] = run
+    # orders are placed at midnight UTC, the evening before in New York
+    ORACLES[name] = f"SELECT strftime({_gap_start('d')}, {_STAMP}) AS period_start, strftime({_gap_start('(d + 1)')}, {_STAMP}) AS period_end, strftime(d, '%Y-%m-%d') AS period_label, n, total FROM (SELECT CAST(placed AS DATE) - 1 AS d, count(*) AS n, CAST(sum(total) AS VARCHAR) AS total FROM {ORDERS} GROUP BY 1) ORDER BY d {tail}"
+
+
+_order_days("c5_clock_changes", "asc", 1000, "LIMIT 1000")
+_order_days("o4_period_order", "desc", 40, "DESC LIMIT 40")
+
 # Retrieval.
-ITEMS = "(SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS BIGINT) AS label, text AS body, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN documents ON vec_id = doc_id) i"
+ITEMS = "(SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS BIGINT) AS label, text AS body, CAST(embedding AS DOUBLE[]) AS v FROM embeddings LEFT JOIN documents ON vec_id = doc_id) i"
 _TEXT = "market news"
 _QUERY = "CAST([" + ", ".join(repr(x) for x in vectors.hashed(_TEXT, 64)) + "] AS DOUBLE[])"
 
@@ -287,6 +316,31 @@ _add(
 )
 
 
+def _bound(name: str, source: str, change: Callable[[DataFrame], DataFrame], query: dict, sql: str, **more) -> None:
+    """A query over a source's table as `change` makes it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        own = e.bindings[source]
+        e.bindings[source] = replace(own, load=lambda s: change(own.load(s)), **more)
+        return plain(e.dataframe(query, Scope.open()))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+# Each vector stands there twice, so that every score ties; the cut goes through a pair.
+_bound(
+    "r9_ties_by_id",
+    "items",
+    lambda df: df.unionByName(df.withColumn("vec_id", F.col("vec_id") + 1_000_000_000)),
+    _semantic("cosine", 21),
+    f"SELECT id, label, CAST(row_number() OVER (ORDER BY {_SCORES['cosine']}, id) AS INTEGER) AS rank FROM (SELECT * FROM {ITEMS} UNION ALL SELECT CAST(CAST(id AS BIGINT) + 1000000000 AS VARCHAR) AS id, label, body, v FROM {ITEMS}) QUALIFY rank <= 21",
+)
+_bound("f25_unpartitioned_scope", "orders", lambda df: df.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey"))), _group("orders", ["status"], [_metric("n", "count")]), f"SELECT status, count(*) AS n FROM {ORDERS} WHERE CAST(id AS BIGINT) % 7 <> 0 GROUP BY status")
+
+_bound("s3_soft_deleted", "orders", lambda df: df.withColumn("gone", F.col("o_custkey") % 4 == 0), _group("orders", ["status"], [_metric("n", "count")]), f"SELECT status, count(*) AS n FROM {ORDERS} WHERE customer % 4 <> 0 GROUP BY status", deleted="gone")
+
+
 # Ingest: every nation goes in, some are replaced, some deleted, one comes back.
 def _written(spark: SparkSession, sf_dir: str, upto: str) -> DataFrame:
     scratch.prepare(spark)
@@ -306,6 +360,33 @@ def _written(spark: SparkSession, sf_dir: str, upto: str) -> DataFrame:
     return table.rows().select("id", "name", "region", F.col("_version").alias("version"))
 
 
+def _outcomes(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    """Outcomes of the last of several requests, one row a record."""
+    scratch.prepare(spark)
+    e = Engine(spark, catalog(), store=f"{scratch.folder(spark)}/store-{uuid.uuid4().hex}")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # the 25 records of the requests
+    records = [{"id": str(r.n_nationkey), "value": {"name": r.n_name, "region": r.n_regionkey}} for r in rows]
+    put = lambda mode, some, key: e.put({"dataset": "nations", "mode": mode, "records": some, "embeddingPolicy": "catalog", "idempotencyKey": key}, Scope.open())
+    if what == "versions":  # the expected version is right for even ids
+        put("insertOnly", records, "a")
+        result = put("replace", [{**r, "ifVersion": 1 + int(r["id"]) % 2} for r in records], "b")
+    elif what == "siblings":  # every third is there already, and every fifth has the wrong type
+        put("insertOnly", records[::3], "a")
+        result = put("insertOnly", [{**r, "value": {**r["value"], "region": "none"}} if int(r["id"]) % 5 == 0 else r for r in records], "b")
+    else:  # the same request again gets the first one's answer
+        put("insertOnly", records, "a")
+        result = put("insertOnly", records, "a")
+    out = [(o["id"], o["status"], o["version"] and str(o["version"]), o["error"] and o["error"]["code"]) for o in result["outcomes"]]
+    return spark.createDataFrame(out, "id string, status string, version string, code string")
+
+
+for _name, _what, _case in (
+    ("i4_if_version", "versions", "CASE WHEN n_nationkey % 2 <> 0 THEN 'VERSION_CONFLICT' END"),
+    ("i5_outcomes", "siblings", "CASE WHEN n_nationkey % 5 = 0 THEN 'SCHEMA_TYPE_MISMATCH' WHEN n_nationkey % 3 = 0 THEN 'RECORD_EXISTS' END"),
+    ("i6_idempotency", "again", "CAST(NULL AS VARCHAR)"),
+):
+    QUERIES[_name] = lambda spark, d, what=_what: _outcomes(spark, d, what)
+    ORACLES[_name] = f"SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN code IS NULL THEN 'accepted' ELSE 'refused' END AS status, CASE WHEN code IS NULL THEN '{2 if _what == 'versions' else 1}' END AS version, code FROM (SELECT n_nationkey, {_case} AS code FROM nation)"
 QUERIES["i1_insert_only"] = lambda spark, d: _written(spark, d, "insert")
 QUERIES["i2_replace"] = lambda spark, d: _written(spark, d, "replace")
 QUERIES["i3_delete"] = lambda spark, d: _written(spark, d, "delete")
