@@ -1,8 +1,8 @@
 """Exact aggregates: one group-by with map-side combination, then a finaliser over the groups.
 
 Sums run on whole-number or fixed-scale decimals and never on floating point.
-What Spark's decimal division can't round exactly once (averages, ratios) is
-finished over grouped rows with exact integers, before having, order and take.
+Averages and ratios are divided natively, by exact steps; those of any scale are
+finished over grouped rows with exact integers.  Both come before having, order and take.
 Calendar buckets group by the native civil date of the period's start; the
 period's UTC bounds follow from that date.
 """
@@ -105,17 +105,98 @@ def _amount(precision: int | None, scale: int | None) -> str:
     return f"decimal(38,{scale})" if precision else _LIMBS
 
 
-def _native(m: Metric) -> bool:
-    """Whether the metric needs no finaliser."""
+def _native(m: Metric, by_id: dict[str, Metric]) -> bool:
+    """Whether the metric needs no finaliser in Python: all but what has any scale, or more digits than a decimal holds."""
     if m.op in ("count", "countDistinct", "min", "max"):
         return True
-    return m.op == "sum" and (m.field.kind == "integer" or bool(m.field.precision))
+    if m.op == "ratio":
+        return all(_whole(by_id[x]) for x in (m.numerator, m.denominator)) and m.scale is not None and m.scale <= 18
+    if m.op == "sum":
+        return m.field.kind == "integer" or bool(m.field.precision)
+    places = _places(m.field)
+    return places is not None and m.scale is not None and places <= m.scale <= 18 and (19 if m.field.kind == "integer" else m.field.precision - places) <= 37 - m.scale
+
+
+def _whole(m: Metric) -> bool:
+    return m.op in ("count", "countDistinct") or (m.op == "sum" and m.field.kind == "integer")
+
+
+def _places(f: Field) -> int | None:
+    """Fraction digits of a sum of the field, up to 18; None if they vary or are more."""
+    if f.kind == "integer":
+        return 0
+    return f.scale if f.precision and f.scale <= 18 else None
+
+
+def _decimal(c: Column, precision: int = 38, scale: int = 0) -> Column:
+    return c.cast(f"decimal({precision},{scale})")
+
+
+def quotient(total: Column, places: int, n: Column, scale: int) -> Column:
+    """total (of `places` fraction digits) over n (whole, not zero, up to 19 digits), to `scale` places, half to even; null where total is.
+
+    `places` <= `scale` <= 18, and the quotient has at most 37 - `scale` whole digits.
+
+    A long division, 18 digits at a time: each step's dividend fits a decimal, and its
+    digits come from an exact remainder, as Spark's own division rounds too early.
+    """
+    base = F.lit(10**18).cast("decimal(19,0)")
+    size, divisor = F.abs(total), _decimal(F.abs(n), 19)
+    whole = _decimal(F.floor(size)) if places else _decimal(size)
+    fraction = _decimal(_decimal(size % _decimal(F.lit(1), 1), places + 1, places) * _decimal(F.lit(10**places), places + 1)) if places else None
+
+    def exact(top: Column, bottom: Column) -> Column:
+        return _decimal(top / bottom)
+
+    low = whole % base
+    rest = exact(whole - low, base)
+    middle = rest % base
+    digit = lambda by, c: F.struct(_decimal(F.lit(by), 19).alias("by"), _decimal(c, 19).alias("c"))
+    steps = [digit(1, exact(rest - middle, base)), digit(10**18, middle), digit(10**18, low)]
+    if places:
+        steps.append(digit(10**places, fraction))
+    if scale > places:
+        steps.append(digit(10 ** (scale - places), F.lit(0)))
+
+    def step(acc: Column, x: Column) -> Column:
+        dividend = _decimal(acc["r"] * x["by"] + x["c"])
+
+        def put(t: Column) -> Column:
+            r = t % divisor
+            return F.struct(_decimal(_decimal(acc["q"] * x["by"]) + exact(t - r, divisor)).alias("q"), _decimal(r, 19).alias("r"))
+
+        return F.get(F.transform(F.array(dividend), put), F.lit(0))
+
+    def finish(acc: Column) -> Column:
+        twice = acc["r"] * 2
+        up = (twice > divisor) | ((twice == divisor) & (acc["q"] % 2 == 1))
+        return _decimal(acc["q"] + F.when(up, 1).otherwise(0))
+
+    got = F.aggregate(F.array(*steps), F.struct(_decimal(F.lit(0)).alias("q"), _decimal(F.lit(0), 19).alias("r")), step, finish)
+
+    def printed(q: Column) -> Column:
+        unit = _decimal(F.lit(10**scale), scale + 1)
+        part = q % unit
+        small = _decimal(part, max(scale, 1)) * F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({max(scale, 1)},{scale})")
+        return _decimal(_decimal(exact(q - part, unit), 37, scale) + small, 38, scale)
+
+    value = F.get(F.transform(F.array(got), printed), F.lit(0))
+    return F.when(total.isNotNull(), F.when((total < 0) != (n < 0), -value).otherwise(value))
 
 
 def _finish_native(m: Metric) -> Column:
     if m.op in ("count", "countDistinct", "min", "max"):
         return F.col(f"r_{m.id}_")
+    if m.op == "ratio":
+        top, bottom = (F.col(f"{x}").cast("decimal(38,0)") for x in (f"t_{m.id}", f"b_{m.id}"))
+        return F.when(bottom != 0, quotient(top, 0, bottom, m.scale)).cast(final_type(m))
     s = F.col(f"r_{m.id}_s")
+    if m.op == "avg":
+        mean = F.when(F.col(f"r_{m.id}_n") > 0, quotient(s.cast("decimal(38,0)") if m.field.kind == "integer" else s, _places(m.field), F.col(f"r_{m.id}_n"), m.scale))
+        if m.kind != "money":
+            return mean.cast(final_type(m))
+        low, high = F.col(f"r_{m.id}_low"), F.col(f"r_{m.id}_high")
+        return F.when(low != high, _fail("MONEY_CURRENCY_MIXED", m.path).cast(final_type(m))).when(low.isNotNull(), F.struct(low.alias("currency"), mean.alias("amount")))
     if m.field.kind == "integer":
         return F.when(F.abs(s) > INTEGER_LIMIT, _fail("NUMERIC_OVERFLOW", m.path).cast("bigint")).otherwise(s.cast("bigint"))
     if m.field.kind == "money":
@@ -198,7 +279,11 @@ def grouped(spark: SparkSession, plan: Plan, binding: Binding) -> DataFrame:
     if plan.cohort:
         out = out.where(F.col("cohort") >= plan.cohort).drop("cohort")
     keys = [f"d_{d.id}" for d in plan.dimensions]
-    native, exact = ([m for m in plan.metrics if _native(m) == side] for side in (True, False))
+    by_id = {m.id: m for m in plan.metrics}
+    native, exact = ([m for m in plan.metrics if _native(m, by_id) == side] for side in (True, False))
+    for m in native:
+        if m.op == "ratio":
+            out = out.withColumns({f"{side}_{m.id}": F.col(f"r_{x}_" + ("" if by_id[x].op != "sum" else "s")) for side, x in (("t", m.numerator), ("b", m.denominator))})
     out = out.select("*", *(_finish_native(m).alias(f"m_{m.id}") for m in native))
     carried = [*keys, *(f"m_{m.id}" for m in native)]
     if not exact:

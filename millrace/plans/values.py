@@ -58,16 +58,21 @@ def print_decimal(value: Decimal, scale: int | None = None) -> str:
     return "0" if text in ("-0", "") else text
 
 
-def divide(numerator: Decimal, denominator: Decimal, scale: int) -> Decimal:
-    """Rounded once, half to even."""
+ROUNDING = ("halfEven", "down", "up")
+
+
+def divide(numerator: Decimal, denominator: Decimal, scale: int, rounding: str = "halfEven") -> Decimal:
+    """Rounded once: half to even, or towards (down) or away from (up) zero."""
+    if rounding not in ROUNDING:
+        raise ValueError(rounding)
     n, d = EXACT.multiply(numerator, Decimal(10) ** scale).as_integer_ratio(), denominator.as_integer_ratio()
     top, bottom = n[0] * d[1], n[1] * d[0]
     if bottom < 0:
         top, bottom = -top, -bottom
-    q, r = divmod(top, bottom)
-    if 2 * r > bottom or (2 * r == bottom and q % 2):
+    q, r = divmod(abs(top), bottom)
+    if (rounding == "up" and r) or (rounding == "halfEven" and (2 * r > bottom or (2 * r == bottom and q % 2))):
         q += 1
-    return Decimal(q).scaleb(-scale, context=EXACT)
+    return Decimal(-q if top < 0 else q).scaleb(-scale, context=EXACT)
 
 
 def parse_instant(text: Any, path: str, precision: str | None = None) -> dt.datetime:

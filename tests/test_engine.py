@@ -366,3 +366,72 @@ def test_catalog_errors():
     broken = {**DOC, "datasets": [{**DOC["datasets"][0], "idField": "bills.note"}]}
     with pytest.raises(CatalogError):
         Catalog.load(broken)
+
+
+# -- division, commits ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("places", "scale", "digits"), [(2, 9, 30), (0, 9, 28), (9, 9, 37), (0, 0, 20), (18, 18, 36)])
+def test_native_quotients_are_rounded_once(spark, places, scale, digits):
+    import random
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators.aggregate import quotient
+    from millrace.plans.values import divide
+
+    pick = random.Random(places)
+    rows = [(None, 3)]
+    for _ in range(200):
+        top = pick.choice([pick.randrange(10 ** pick.randrange(1, digits)), pick.randrange(100), 0, 5, 15, 25]) * pick.choice([1, -1])
+        rows.append((Decimal(top).scaleb(-places), pick.choice([pick.randrange(1, 10), pick.randrange(1, 10**17), 2, 4, 8, 2**62, -3])))
+    df = spark.createDataFrame(rows, f"a decimal(38,{places}), n long").withColumn("q", quotient(F.col("a"), places, F.col("n"), scale))
+    assert all(r.q == (None if r.a is None else divide(r.a, Decimal(r.n), scale)) for r in df.collect())
+
+
+def test_averages_and_ratios_need_no_python(spark):
+    from millrace import workload
+
+    for name in ("a10_avg_integer", "a11_avg_decimal", "a11_avg_money", "a14_ratio", "f26_having"):
+        plan = workload.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_rounding_modes():
+    from decimal import Decimal
+
+    from millrace.plans.values import divide
+
+    for top, want in (("7", ("2", "1", "2")), ("-7", ("-2", "-1", "-2")), ("5", ("1", "1", "2")), ("-6", ("-2", "-1", "-2")), ("8", ("2", "2", "2"))):
+        assert tuple(str(divide(Decimal(top), Decimal(4), 0, r)) for r in ("halfEven", "down", "up")) == want
+
+
+def test_of_two_writers_one_has_to_try_again(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from millrace import workload
+    from millrace.engine import Engine
+    from millrace.sources.tables import Conflict
+
+    tables = [Engine(spark, workload.catalog(), store=f"file://{tmp_path}").writer("nations").table for _ in range(4)]
+    first = tables[0].manifest()
+    tables[0].commit(first)
+    with pytest.raises(Conflict):
+        tables[1].commit(first)
+
+    def write(table):
+        lost = 0
+        for _ in range(5):
+            while True:
+                try:
+                    m = table.manifest()
+                    table.commit({**m, "state": {"n": m["state"].get("n", 0) + 1}})
+                    break
+                except Conflict:
+                    lost += 1
+        return lost
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, tables))
+    assert tables[0].manifest()["number"] == 21 and tables[0].manifest()["state"] == {"n": 20}
