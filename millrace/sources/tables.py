@@ -2,16 +2,19 @@
 
 A write adds one small file set and a manifest; it never rewrites the table.  The
 manifest with the highest number is current, and creating a number that exists
-fails, so that of two writers one has to try again.  Readers pin a manifest: a
+fails, so that of two writers one has to try again.  A reader that finds a manifest
+half written takes the one before.  Readers pin a manifest: a
 snapshot.  `compact` folds the log into a new base.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,22 +70,39 @@ class Table:
         stream = self._fs.open(self._path("manifests", f"{number:012d}.json"))
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)))  # noqa: SLF001
+        except json.JSONDecodeError:
+            return self.manifest(number - 1)
         finally:
             stream.close()
 
     def commit(self, manifest: dict) -> dict:
-        """Publish the next manifest; written aside first, so that no reader sees half of one."""
+        """Publish the next manifest, if no other writer has: whole at once on local disks, by exclusive creation elsewhere."""
         number = manifest["number"] + 1
         out = {**manifest, "number": number}
         aside, place = self._path("manifests", f".{uuid.uuid4().hex}"), self._path("manifests", f"{number:012d}.json")
-        stream = self._fs.create(aside, False)
-        stream.write(bytearray(json.dumps(out).encode()))
-        stream.close()
-        if self._fs.exists(place) or not self._fs.rename(aside, place):
-            self._fs.delete(aside, False)
-            raise Conflict(place.toString())
+        body = json.dumps(out).encode()
+        if self._fs.getUri().getScheme() == "file":
+            self._write(aside, body)
+            try:  # a link is made whole or not at all, and never over another
+                os.link(aside.toUri().getPath(), place.toUri().getPath())
+            except FileExistsError:
+                raise Conflict(place.toString()) from None
+            finally:
+                self._fs.delete(aside, False)
+            return out
+        try:  # stores refuse to create what exists; rename may replace it
+            self._write(place, body)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e) or "412" in str(e) or self._fs.exists(place):
+                raise Conflict(place.toString()) from None
+            raise
         return out
 
+    def _write(self, place, body: bytes) -> None:
+        stream = self._fs.create(place, False)
+        stream.write(bytearray(body))
+        stream.close()
+
     # -- rows ------------------------------------------------------------------------
 
     def append(self, df: DataFrame, manifest: dict) -> dict:
