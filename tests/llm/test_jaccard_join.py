@@ -41,6 +41,66 @@ def test_odd_rows(spark):
     check(odd(spark))
 
 
+def test_shuffle_joins_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(op.scratch, "BROADCAST_ROWS", 0)
+    check(documents(spark))
+    a = {r.doc_id for r in op.deduplicate(documents(spark)).collect()}
+    monkeypatch.undo()
+    assert a == {r.doc_id for r in op.deduplicate(documents(spark)).collect()}
+
+
+def test_recall_of_exact_pairs(spark):
+    """All linked pairs of a larger table, by an inverted index of shingles: none of their links may be missed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = texts(docs)
+    sets = [shingles(t) for _, t in rows]
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    common = {}
+    for own in holders.values():
+        for k, a in enumerate(own):
+            for b in own[k + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    links = dict.fromkeys(range(len(rows)), 0)
+    for (a, b), n in common.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in op.join(docs).collect()}
+    assert sum(links.values()) > 100 and got == {rows[i][0]: n for i, n in links.items()}
+
+
+def test_tiles_against_single_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(300, 400), replace=False), rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(600)] + [np.array([7], np.uint64)]
+    need = op.least_matches(0.8, 1e-7)
+    unit = op.Unit(op.signatures(sets), sets, 0.8, need)
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if (n := op._overlap(sets[a], sets[b])) / (len(sets[a]) + len(sets[b]) - n) >= 0.8}
+    for left, right in ((np.arange(601), None), (np.arange(300), np.arange(300, 601))):
+        got = [(min(x, y), max(x, y)) for a, b in unit.pairs(left, right) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        own = want if right is None else {(a, b) for a, b in want if a < 300 <= b}
+        assert len(got) == len(set(got)) and set(got) == own and own
+    label = np.arange(601)
+    op._unite(label, *(np.array(x) for x in zip(*sorted(want), strict=True)))
+    parent = list(range(601))
+    for a, b in sorted(want):
+        while parent[a] != a:
+            a = parent[a]
+        while parent[b] != b:
+            b = parent[b]
+        parent[max(a, b)] = min(a, b)
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    assert label.tolist() == [root(x) for x in range(601)]
+
+
 def test_empty_table(spark):
     assert op.join(empty(spark)).count() == 0
 
