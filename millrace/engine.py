@@ -25,13 +25,13 @@ from .operators import aggregate, records, retrieve
 from .operators.predicates import holds, shapes
 from .plans import canon, cost, errors
 from .plans.catalog import CHANNELS, Catalog, Policy, Scope
-from .plans.compile import Plan, compile_query
+from .plans.compile import Plan, compile_query, profile_of
 from .plans.errors import Refusal, refuse
 from .plans.quality import Certification
 from .plans.values import print_instant
 from .sources import decode, sinks
 from .sources.bindings import Binding
-from .streaming.ingest import Ingest, observe, token
+from .streaming.ingest import Ingest, observe, timeout, token
 
 _RAISED = re.compile(r"([A-Z][A-Z_]+)@(/[^@\s]*)@")
 PREVIEW = {"model": 20, "operator": 100}
@@ -76,10 +76,10 @@ class Engine:
             return own[0].reference("measurementRequired") if own else {"certificationId": "unmeasured", "version": "0", "status": "measurementRequired"}
         valid = [c for c in own if c.status(now, self.bound) == "valid"]
         if not valid:
-            raise refuse("QUALITY_UNCERTIFIED", "/search/quality")
+            raise refuse("QUALITY_UNCERTIFIED", "/search/quality", details={"qualityProfile": s["quality"], "status": own[0].status(now, self.bound) if own else "measurementRequired"})
         covering = [c for c in valid if c.covers(shapes(plan.where))]
         if not covering:
-            raise refuse("FILTER_SHAPE_UNCERTIFIED", "/where")
+            raise refuse("FILTER_SHAPE_UNCERTIFIED", "/where" if "where" in plan.canonical else "", details={"qualityProfile": s["quality"], "status": "valid"})
         return covering[0].reference("valid")
 
     def binding(self, plan: Plan) -> Binding:
@@ -87,7 +87,7 @@ class Engine:
         if name in self.bindings:
             return self.bindings[name]
         if self.store is None:
-            raise refuse("PROFILE_UNSUPPORTED", "/from", [])
+            raise refuse("PROFILE_UNSUPPORTED", "/mode", details={"requiredProfile": profile_of(plan.canonical)})
         table = self.writer(name).table
         pinned = table.manifest()
         return Binding(lambda _: table.rows(pinned), snapshot=lambda: f"manifest-{pinned['number']}", version="managed-1")
@@ -105,7 +105,7 @@ class Engine:
         binding = self.binding(plan)
         if plan.mode == "retrieve":
             if not binding.indexed(self.spark, plan.spec.id):
-                raise refuse("EMBEDDING_UNINDEXED", "/search/using")
+                raise refuse("EMBEDDING_UNINDEXED", "/search/using", details={"embeddingSpec": plan.spec.id})
             return retrieve.build(self.spark, plan, binding, self.vector(plan))
         return (records if plan.mode == "records" else aggregate).build(self.spark, plan, binding, extra)
 
@@ -160,7 +160,7 @@ class Engine:
             if found is not None:
                 return found
             if time.monotonic() >= deadline:
-                raise Refusal(errors.error("AFTER_WRITE_TIMEOUT", "/afterWrite"), status="timeout")
+                raise timeout(want["receipt"], want["require"])
             time.sleep(0.025)
 
     # -- envelopes -------------------------------------------------------------------
@@ -232,9 +232,9 @@ class Engine:
         else:
             held = self._pages.get(cursor)
             if held is None or held["bound"] != bound:
-                raise refuse("CURSOR_INVALID", "/execution/pageCursor")
+                raise refuse("CURSOR_INVALID", "/execution/pageCursor", details={"queryRequired": True})
             if held["until"] <= now:
-                raise refuse("CURSOR_EXPIRED", "/execution/pageCursor")
+                raise refuse("CURSOR_EXPIRED", "/execution/pageCursor", details={"queryRequired": True})
         at = held["at"]
         rows = held["rows"][at : at + size]
         more = at + size < len(held["rows"])
@@ -326,7 +326,7 @@ class Engine:
             plan = self.compile(query, scope, channel, anchor)
             same = plan.identities["effectivePlanHash"] == envelope["provenance"]["effectivePlanHash"] and channel == envelope["channel"]
             if not same or not hmac.compare_digest(receipt, self.execution_receipt(envelope)):
-                raise refuse("RECEIPT_INVALID", "/receipt")
+                raise refuse("RECEIPT_INVALID", "/receipt", details={"receipt": receipt})
             self._saved[name] = {"query": plan.canonical, "hash": plan.identities["sourceQueryHash"], "savedAt": print_instant(self.now())}
             return {"status": "saved", "name": name, "sourceQueryHash": plan.identities["sourceQueryHash"]}
         except Refusal as e:
@@ -351,7 +351,7 @@ class Engine:
                 raise refuse("REFERENCE_NOT_AVAILABLE", "/dataset", names)
             d = self.catalog.datasets[tree["dataset"]]
             if self.store is None or (d.profiles and "ingest.canonical.v0" not in d.profiles):
-                raise refuse("PROFILE_UNSUPPORTED", "/dataset", [])
+                raise refuse("PROFILE_UNSUPPORTED", "/dataset", details={"requiredProfile": "ingest.canonical.v0"})
             return self.writer(d.id).put(tree, scope)
         except Refusal as e:
             return self._refused(e, "principal", None)

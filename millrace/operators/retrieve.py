@@ -31,8 +31,7 @@ def admit(df: DataFrame, plan: Plan) -> int:
     limit = plan.exact_limit
     n = df.select(column(plan.dataset.id_field)).count()
     if n > limit:
-        phrases = ["Add a selective where predicate.", "Request approximate accuracy if policy permits."]
-        raise refuse("EXACT_SCAN_LIMIT_EXCEEDED", "/search/accuracy", phrases, {"limit": limit, "eligibleCount": n, "alternatives": phrases})
+        raise refuse("EXACT_SCAN_LIMIT_EXCEEDED", "/search/accuracy", details={"limit": limit, "eligibleCount": n})
     return n
 
 
@@ -84,7 +83,7 @@ def lexical(df: DataFrame, plan: Plan, needle: str, k: int) -> list[str]:
 def ids(spark: SparkSession, plan: Plan, binding: Binding, query: list[float]) -> list[str]:
     """Ranked ids of a retrieval; at most `take`."""
     if len(query) != plan.spec.dimension:
-        raise refuse("EMBEDDING_UNINDEXED", "/search/using")
+        raise refuse("EMBEDDING_UNINDEXED", "/search/using", details={"embeddingSpec": plan.spec.id})
     query = vectors.f32(query)
     df = _eligible(spark, plan, binding, {plan.lexical.id} if plan.lexical else set())
     if plan.cohort and not released(df, plan):

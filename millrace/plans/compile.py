@@ -14,7 +14,7 @@ from typing import Any
 from ..functions import civil
 from . import canon, grammar
 from .catalog import Catalog, Dataset, EmbeddingSpec, Field, Policy, Scope
-from .errors import refuse
+from .errors import Refusal, refuse
 from .values import literal, ordered, parse_instant
 
 
@@ -170,9 +170,10 @@ class _Compiler:
             raise refuse("REFERENCE_NOT_AVAILABLE", "/from", names)
         self.dataset = d = self.catalog.datasets[q["from"]]
         mode = q["mode"]
-        profile = {"records": "records.v0", "aggregate": "aggregate.v0"}.get(mode) or f"retrieve.{q['search']['kind']}.v0"
+        profile = profile_of(q)
         if d.profiles and profile not in d.profiles:
-            raise refuse("PROFILE_UNSUPPORTED", "/mode", [])
+            other = mode == "retrieve" and any(p.startswith("retrieve.") for p in d.profiles)
+            raise refuse("PROFILE_UNSUPPORTED", "/search/kind" if other else "/mode", details={"requiredProfile": profile})
         visible = self.scope.values(d)
         if visible:
             visible = {k: [literal(d.fields[k], v, f"/scope/partitions/{k}/{i}")[0] for i, v in enumerate(vs)] for k, vs in visible.items()}
@@ -304,10 +305,22 @@ class _Compiler:
         names = {"record", "lexical", *(f"embedding:{s}" for s in self.dataset.embeddings.values())}
         for i, r in enumerate(x["require"]):
             if r not in names:
-                raise refuse("EMBEDDING_UNINDEXED" if r.startswith("embedding:") else "FRESHNESS_UNAVAILABLE", f"/afterWrite/require/{i}")
+                raise unindexed(r, f"/afterWrite/require/{i}")
         return x
 
 
+def profile_of(query: dict) -> str:
+    """The capability profile a query needs."""
+    return f"retrieve.{query['search']['kind']}.v0" if query["mode"] == "retrieve" else f"{query['mode']}.v0"
+
+
+def unindexed(name: str, path: str) -> Refusal:
+    """The dataset has no such representation to wait for."""
+    if name.startswith("embedding:"):
+        return refuse("EMBEDDING_UNINDEXED", path, details={"embeddingSpec": name.removeprefix("embedding:")})
+    return refuse("FRESHNESS_UNAVAILABLE", path)
+
+
 def output_field(metric: Metric) -> Field:
     """A metric's result as a field, for typing having operands."""
     precision = 38 if metric.kind in ("decimal", "money") and metric.scale is not None else None

@@ -82,6 +82,17 @@ PHRASES = {
     "UDF_FORBIDDEN": "Use a closed {language} v0 predicate.",
     "EVALUABLE_CONSTRUCT_FORBIDDEN": "Use a closed {language} v0 predicate.",
     "UNSUPPORTED_IN_V0": "Remove the construct.",
+    "AFTER_WRITE_TIMEOUT": "Retry with the same receipt and requirements.",
+}
+#: Several phrases, which the remedy's details hold as well; all but the first two codes' are this engine's own.
+REMEDIES = {
+    "EXACT_SCAN_LIMIT_EXCEEDED": ["Add a selective where predicate.", "Request approximate accuracy if policy permits."],
+    "FRESHNESS_UNAVAILABLE": ["Choose a binding certified for afterWrite.", "Remove the freshness requirement explicitly."],
+    "PROFILE_UNSUPPORTED": ["Choose a dataset that offers the profile.", "Remove the feature."],
+    "EMBEDDING_UNINDEXED": ["Choose an indexed EmbeddingSpec.", "Wait for indexing."],
+    "QUALITY_UNCERTIFIED": ["Choose a certified quality profile.", "Measure this profile."],
+    "FILTER_SHAPE_UNCERTIFIED": ["Choose a certified quality profile.", "Measure this filter shape."],
+    "RECEIPT_EXPIRED": ["Issue a new write.", "Run without the requirement."],
 }
 ACTIONS = {
     "PROFILE_UNSUPPORTED": "chooseSourceOrRemoveFeature",
@@ -111,7 +122,9 @@ def pointer(*parts: Any) -> str:
 def error(code: str, path: str = "", alternatives: list[str] | None = None, details: dict | None = None) -> dict:
     phrase = PHRASES.get(code)
     if alternatives is None:
-        alternatives = [phrase.replace("{language}", DIALECT)] if phrase else []
+        alternatives = REMEDIES.get(code) or ([phrase.replace("{language}", DIALECT)] if phrase else [])
+    if code in REMEDIES:
+        details = {**(details or {}), "alternatives": alternatives}
     remedy = {"action": ACTIONS[code], "details": details or {}} if code in ACTIONS else None
     return {"code": code, "message": MESSAGES[code].replace("{language}", DIALECT), "path": path, "alternatives": alternatives, "remedy": remedy}
 

@@ -116,7 +116,7 @@ class Service:
         self._members(args, ("name", "query", "executionReceipt"), ("source",))
         answer = self._answers.get(str(args["executionReceipt"]))
         if answer is None:
-            raise refuse("RECEIPT_INVALID", "/executionReceipt")
+            raise refuse("RECEIPT_INVALID", "/executionReceipt", details={"receipt": str(args["executionReceipt"])})
         return self.engine.save_query(str(args["name"]), args["query"], answer, args["executionReceipt"], who.scope, who.channel, anchor)
 
     # -- results that only principals open --------------------------------------------
@@ -134,7 +134,7 @@ class Service:
     def page(self, handle: str, who: Caller, cursor: str | None = None) -> dict:
         held = self._handles.get(handle)
         if held is None or held["who"].scope.fingerprint != who.scope.fingerprint or who.channel != "principal":
-            return Engine._refused(refuse("CURSOR_INVALID", "/handle"), who.channel, None)  # noqa: SLF001
+            return Engine._refused(refuse("CURSOR_INVALID", "/handle", details={"queryRequired": True}), who.channel, None)  # noqa: SLF001
         if cursor is None:
             return held["first"]
         return self.engine.run(held["query"], who.scope, who.channel, held["anchor"], held["size"], cursor)
