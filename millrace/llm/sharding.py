@@ -3,7 +3,9 @@
 Equal texts are a group and go to one shard.  The tree is built over the groups,
 weighted by bytes: a node with k leaves is split along its widest metadata
 dimension at the weighted quantile floor(k / 2) / k, found by histograms that are
-counted in parallel and refined until the cut's bin is light.  Ties along a
+counted in parallel and refined until the cut's bin is light.  The dimensions have
+one unit, powers of two: of a text's size, and of how rare a metadata value is, by
+bytes (values as rare as each other lie together by their hash).  Ties along a
 dimension are parted by the text's hash.  Groups heavier than a fiftieth of a
 shard (at most 50 x shards of them) are dealt to the sides largest first, the cut
 makes up for them; a group heavier than a shard is cut into portions, as no other
@@ -27,6 +29,8 @@ from .. import scratch
 
 #: Bits of a cut's key: coordinate along the dimension, then the text's hash.
 COORDINATE, TIE = 20, 42
+#: Low bits of a metadata coordinate: the value's hash.  The others count 64ths of a power of two.
+VALUE = 8
 BINS = 2048
 OVERHEAD = 16
 
@@ -46,6 +50,12 @@ def _small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
+def _octaves(x: Column) -> Column:
+    """log2 of x >= 1 as a coordinate, its last VALUE bits free."""
+    steps = F.least(F.lit((1 << (COORDINATE - VALUE)) - 1), F.floor(F.log2(F.greatest(x, F.lit(1.0))) * 64))
+    return F.shiftleft(steps.cast("long"), VALUE)
+
+
 def _key(dimensions: int) -> Column:
     """The key of the dimension named in the column `dim`."""
     out = F.col("k0")
@@ -131,17 +141,23 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """One row per document: id, size, text_crc32, law ('bytes'), shard, slot (gapless in its shard), grown_shard (null)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    unit = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(c.cast("string"), F.lit("\u0000"))), 32) / F.lit(float(1 << 32))
-    own = [unit(F.col(c)) for c in metadata if c in docs.columns]
+    own = [F.xxhash64(F.col(c).cast("string").isNull(), F.col(c).cast("string")) for c in metadata if c in docs.columns]
     size = (F.octet_length(text) + OVERHEAD).cast("long")
     meta = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("g"), *(c.alias(f"y{i}") for i, c in enumerate(own)))
     meta = scratch.keep(meta.withColumn("row", F.monotonically_increasing_id()))
     dims = len(own) + 1
     whole = meta.groupBy("g").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("size").alias("one"), *(F.min(f"y{i}").alias(f"x{i + 1}") for i in range(len(own))))
     tie = F.shiftrightunsigned(F.col("g"), 64 - TIE)
-    coordinates = [F.least(F.lit(1.0), F.log2(F.col("one")) / 32), *(F.col(f"x{i + 1}") for i in range(len(own)))]
-    groups = scratch.keep(whole.select("g", "bytes", "n", *(F.shiftleft(F.floor(x * ((1 << COORDINATE) - 1)).cast("long"), TIE).bitwiseOR(tie).alias(f"k{i}") for i, x in enumerate(coordinates))))
-    total, rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    whole = scratch.keep(whole)
+    total, rows = whole.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    placed_at = whole
+    for i in range(len(own)):
+        value = f"x{i + 1}"
+        rare = scratch.small(whole.groupBy(value).agg((F.lit(float(max(total, 1))) / F.sum("bytes")).alias(f"rare{i + 1}")))
+        placed_at = placed_at.join(rare, value)
+    coordinates = [_octaves(F.col("one")), *(_octaves(F.col(f"rare{i + 1}")).bitwiseOR(F.shiftrightunsigned(F.col(f"x{i + 1}"), 64 - VALUE)) for i in range(len(own)))]
+    groups = scratch.keep(placed_at.select("g", "bytes", "n", *(F.shiftleft(x, TIE).bitwiseOR(tie).alias(f"k{i}") for i, x in enumerate(coordinates))))
+    scratch.drop(whole)
     leaf = max(1.0, total / shards)
 
     large = groups.where(F.col("bytes") > leaf / 50).select("g", "bytes", "n").collect()  # 50 x shards groups at most

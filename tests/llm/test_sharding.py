@@ -45,5 +45,40 @@ def test_odd_rows(spark):
     check(documents(spark).limit(3).select("doc_id", "text"), 40)
 
 
+def plain(items, leaves, first):
+    """The tree over (g, bytes, keys...) by sorting: {g: leaf}."""
+    if leaves == 1 or not items:
+        return {x[0]: first for x in items}
+    k = leaves // 2
+    spans = [max(x[2 + d] >> op.TIE for x in items) - min(x[2 + d] >> op.TIE for x in items) for d in range(len(items[0]) - 2)]
+    items = sorted(items, key=lambda x: x[2 + spans.index(max(spans))])
+    want, below, n = sum(x[1] for x in items) * k / leaves, 0, 0
+    while n < len(items) and below + items[n][1] <= want:
+        below += items[n][1]
+        n += 1
+    if n < len(items) and want - below > items[n][1] / 2:
+        n += 1
+    return plain(items[:n], k, first) | plain(items[n:], leaves - k, first + k)
+
+
+def test_tree_against_sorting(spark):
+    pick = random.Random(8)
+    for shards in (2, 5, 8):
+        items = [(g, pick.randrange(50, 60), *((pick.randrange(1 << width) << op.TIE) + pick.randrange(1 << op.TIE) for width in (6, 9, 9))) for g in range(90)]
+        light = spark.createDataFrame(items, "g long, bytes long, k0 long, k1 long, k2 long")
+        _, placed = op.build(light, 3, shards, sum(x[1] for x in items), [])
+        assert {r.g: r.light_shard for r in placed.collect()} == plain(items, shards, 0)
+
+
+def test_shards_hold_alike_documents(spark):
+    rows = [(i, f"words {i} " * 30, "en" if i % 16 < 10 else "fr" if i % 16 < 15 else "de") for i in range(1600)]
+    got, _ = check(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 16)
+    lang = {r[0]: r[2] for r in rows}
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, set()).add(lang[r.doc_id])
+    assert sum(len(v) == 1 for v in held.values()) >= 13
+
+
 def test_empty_table(spark):
     assert op.shard(empty(spark)).count() == 0
