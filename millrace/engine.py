@@ -153,10 +153,10 @@ class Engine:
     def _visible(self, plan: Plan, scope: Scope) -> list[dict]:
         if self.store is None or plan.dataset.id in self.bindings:
             raise refuse("FRESHNESS_UNAVAILABLE", "/afterWrite")
-        table, want = self.writer(plan.dataset.id).table, plan.after_write
+        writer, want = self.writer(plan.dataset.id), plan.after_write
         deadline = time.monotonic() + want["timeoutMs"] / 1000
         while True:
-            found = observe(want["receipt"], want["require"], table.manifest()["state"], scope, self.now())
+            found = observe(want["receipt"], want["require"], writer.standing(want["receipt"], writer.table.manifest()), scope, self.now())
             if found is not None:
                 return found
             if time.monotonic() >= deadline:

@@ -4,7 +4,7 @@ A write adds one small file set and a manifest; it never rewrites the table.  Th
 manifest with the highest number is current, and creating a number that exists
 fails, so that of two writers one has to try again.  A reader that finds a manifest
 half written takes the one before.  Readers pin a manifest: a
-snapshot.  `compact` folds the log into a new base.
+snapshot.  Answers and receipts are files of their own, so a manifest stays small.  `compact` folds the log into a new base.
 """
 
 from __future__ import annotations
@@ -103,6 +103,25 @@ class Table:
         stream.write(bytearray(body))
         stream.close()
 
+    # -- small files beside the manifests: each is written once -----------------------
+
+    def put_file(self, body: dict, *at: str) -> None:
+        self._write(self._path(*at), json.dumps(body).encode())
+
+    def get_file(self, *at: str) -> dict | None:
+        place = self._path(*at)
+        if not self._fs.exists(place):
+            return None
+        stream = self._fs.open(place)
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)))  # noqa: SLF001
+        finally:
+            stream.close()
+
+    def files(self, *at: str) -> list[str]:
+        place = self._path(*at)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(place)) if self._fs.exists(place) else []
+
     # -- rows ------------------------------------------------------------------------
 
     def append(self, df: DataFrame, manifest: dict) -> dict:

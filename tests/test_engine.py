@@ -322,6 +322,50 @@ def test_receipts(spark, tmp_path):
         move("superseded", "ready")
 
 
+def test_what_is_stored_decides_a_receipt(spark, tmp_path):
+    e = Engine(spark, Catalog.load(DOC), store=str(tmp_path))
+    first = e.put(request([record(ROWS[0]), record(ROWS[1])], "k1"), SCOPE)["writeReceipt"]
+    want = {"receipt": first["receipt"], "require": ["record", "embedding:note@1"], "timeoutMs": 0}
+    assert e.run(records() | {"afterWrite": want}, SCOPE)["status"] == "success"
+    w = e.writer("bills")
+    nothing = w.standing(first["receipt"], w.table.manifest(0) | {"number": 0})
+    assert observe(first["receipt"], ["record"], nothing, SCOPE, dt.datetime.now(dt.UTC)) is None
+    assert w.put_vector("2", 1, "note@1", None)
+    out = e.run(records() | {"afterWrite": want}, SCOPE)
+    assert (out["status"], out["errors"][0]["code"], out["errors"][0]["remedy"]["details"]) == ("timeout", "AFTER_WRITE_TIMEOUT", {"receipt": first["receipt"], "require": ["embedding:note@1", "record"]})
+    assert e.run(records() | {"afterWrite": {**want, "require": ["record"]}}, SCOPE)["status"] == "success"
+    e.put(request([{"id": "2"}], "k2", "delete"), SCOPE)
+    error = e.run(records() | {"afterWrite": want}, SCOPE)["errors"][0]
+    assert (error["code"], error["path"], error["remedy"]["details"]) == ("RECEIPT_SUPERSEDED", "/afterWrite", {"receipt": first["receipt"]})
+    assert e.run(records() | {"afterWrite": {**want, "receipt": "wr_../manifests/000000000001"}}, SCOPE)["errors"][0]["code"] == "RECEIPT_INVALID"
+
+
+def test_manifests_stay_small_and_lost_attempts_answer_nothing(spark, tmp_path, monkeypatch):
+    import json
+
+    from millrace.sources.tables import Conflict, Table
+
+    e = Engine(spark, Catalog.load(DOC), store=str(tmp_path))
+    w = e.writer("bills")
+    sizes = []
+    for i in range(6):
+        e.put(request([{**record(ROWS[0])}], f"k{i}", "replace"), SCOPE)
+        sizes.append(len(json.dumps({**w.table.manifest(), "deltas": []})))
+    assert len(set(sizes)) == 1
+    commit, tried = Table.commit, []
+
+    def beaten(table, manifest):
+        if not tried:  # another writer is first, with the same key
+            tried.append(commit(table, {**manifest, "state": {"write": "other"}}))
+            raise Conflict("")
+        return commit(table, manifest)
+
+    monkeypatch.setattr(Table, "commit", beaten)
+    one = e.put(request([record(ROWS[1])], "late"), SCOPE)
+    assert len(w.table.files("answers", *{n for n in w.table.files("answers") if len(w.table.files("answers", n)) == 2})) == 2
+    assert e.put(request([record(ROWS[1])], "late"), SCOPE) == one
+
+
 def test_streaming_ingest(spark, tmp_path):
     e = Engine(spark, Catalog.load(DOC), store=str(tmp_path / "store"))
     rows = [(r[0], r[1], r[2], r[3], {"amount": r[4][0], "currency": r[4][1]}, r[5], r[6], r[7], r[8]) for r in ROWS[:3]]
