@@ -5,14 +5,16 @@ from __future__ import annotations
 import hmac
 import json
 import secrets
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
-from .engine import Engine
+from .engine import CURSOR_LIFE, Engine
 from .plans.catalog import Scope
 from .plans.errors import Refusal, refuse
+from .plans.grammar import LIMITS
 from .plans.json_schema import schema
 from .sources import decode, sinks
 
@@ -26,6 +28,8 @@ ROUTES = {
     "/v0/records": "put_records",
     "/v0/queries": "save_query",
 }
+#: Answers that can still be saved, and results that can still be opened, at once.
+HELD = 1_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,7 @@ class Service:
     def __post_init__(self) -> None:
         self._answers: dict[str, dict] = {}
         self._handles: dict[str, dict] = {}
+        self._lock = threading.Lock()
 
     def caller(self, header: str | None) -> Caller | None:
         given = (header or "").removeprefix("Bearer ").encode()
@@ -53,6 +58,20 @@ class Service:
                 found = who
         return found
 
+    def _keep(self, kept: dict[str, dict], name: str, x: dict) -> None:
+        """Hold x for as long as a cursor lives; what is older goes, and of more than HELD the oldest."""
+        now = self.engine.now()
+        with self._lock:
+            for k in [k for k, v in kept.items() if v["until"] <= now]:
+                del kept[k]
+            while len(kept) >= HELD:
+                del kept[next(iter(kept))]
+            kept[name] = {**x, "until": now + CURSOR_LIFE}
+
+    def _held(self, kept: dict[str, dict], name: str) -> dict | None:
+        found = kept.get(name)
+        return found if found and found["until"] > self.engine.now() else None
+
     # -- tools -----------------------------------------------------------------------
 
     def call(self, tool: str, args: dict, who: Caller, anchor: str | None = None) -> Any:
@@ -105,8 +124,8 @@ class Service:
         out = self.engine.run(query, who.scope, who.channel, anchor, args.get("pageSize"), args.get("pageCursor"))
         if out["status"] == "success":
             receipt = self.engine.execution_receipt(out)
-            self._answers[receipt] = out
-            out = {**out, "executionReceipt": receipt}
+            self._keep(self._answers, receipt, {"channel": out["channel"], "provenance": out["provenance"]})
+            out = {**(sinks.for_model(out) if who.channel == "model" else out), "executionReceipt": receipt}
         return out
 
     def _put_records(self, args: dict, who: Caller, _: str | None) -> Any:
@@ -114,7 +133,7 @@ class Service:
 
     def _save_query(self, args: dict, who: Caller, anchor: str | None) -> Any:
         self._members(args, ("name", "query", "executionReceipt"), ("source",))
-        answer = self._answers.get(str(args["executionReceipt"]))
+        answer = self._held(self._answers, str(args["executionReceipt"]))
         if answer is None:
             raise refuse("RECEIPT_INVALID", "/executionReceipt", details={"receipt": str(args["executionReceipt"])})
         return self.engine.save_query(str(args["name"]), args["query"], answer, args["executionReceipt"], who.scope, who.channel, anchor)
@@ -128,11 +147,11 @@ class Service:
         if out["status"] != "success":
             return out
         handle = secrets.token_urlsafe(24)
-        self._handles[handle] = {"first": out, "query": args["query"], "anchor": anchor, "size": args.get("pageSize", 100), "who": who}
+        self._keep(self._handles, handle, {"first": out, "query": args["query"], "anchor": anchor, "size": args.get("pageSize", 100), "who": who})
         return {"status": "opened", "handle": handle}
 
     def page(self, handle: str, who: Caller, cursor: str | None = None) -> dict:
-        held = self._handles.get(handle)
+        held = self._held(self._handles, handle)
         if held is None or held["who"].scope.fingerprint != who.scope.fingerprint or who.channel != "principal":
             return Engine._refused(refuse("CURSOR_INVALID", "/handle", details={"queryRequired": True}), who.channel, None)  # noqa: SLF001
         if cursor is None:
@@ -196,8 +215,18 @@ class Service:
             def do_POST(self) -> None:
                 if (who := self._who()) is None:
                     return
+                length = self.headers.get("Content-Length", "")
+                if not length.isascii() or not length.isdigit():
+                    self._send(411, {"status": "refused"})
+                    return
+                if int(length) > LIMITS["bytes"]:
+                    self.close_connection = True
+                    self.rfile.read(min(int(length), 1 << 20))  # so that a caller that is little over gets the answer
+                    too_long = refuse("STRUCTURAL_LIMIT_EXCEEDED", "", [f"Use at most {LIMITS['bytes']} UTF-8 bytes."])
+                    self._send(413, Engine._refused(too_long, who.channel, None))  # noqa: SLF001
+                    return
                 try:
-                    body = decode.decode(self.rfile.read(int(self.headers.get("Content-Length", 0))))
+                    body = decode.decode(self.rfile.read(int(length)))
                 except Refusal as e:
                     self._send(200, Engine._refused(e, who.channel, None))  # noqa: SLF001
                     return

@@ -75,6 +75,37 @@ def result_schema(plan: Plan) -> list[dict]:
     return out
 
 
+#: What of an answer crosses to the model channel; anything else, whatever comes to be added, stays.
+MODEL = {
+    "": ("version", "status", "mode", "channel", "page", "determinism", "release", "principalResultAvailable"),
+    "provenance": ("sourceQueryHash", "effectivePlanHash", "executionFingerprint", "catalogVersion", "policyVersion", "bindingVersion", "engineVersion", "adapterVersion", "scopeFingerprint", "anchor", "replayTier"),
+    "retrieval": ("embeddingSpec", "queryVectorDigest", "qualityProfile", "qualityCertification", "fusion"),
+    "schema": ("id", "kind", "nullable", "precision", "scale", "enumCodes", "currencies", "collation", "instantPrecision", "calendar"),
+    "money": ("amount", "currency"),
+    "calendarPeriod": ("start", "endExclusive", "timezone", "grain", "label"),
+}
+
+
+def _only(part: str, x: dict) -> dict:
+    return {k: x[k] for k in MODEL[part] if k in x}
+
+
+def for_model(envelope: dict) -> dict:
+    """A successful answer rebuilt from the members that may cross; rows hold the schema's fields alone."""
+    columns = [_only("schema", c) for c in envelope["schema"]]
+
+    def value(kind: str, x: Any) -> Any:
+        if isinstance(x, (dict, list)) and (kind not in MODEL or not isinstance(x, dict)):
+            raise TypeError(f"a {kind} is no object")
+        return _only(kind, x) if isinstance(x, dict) else x
+
+    shown = {k: [{c["id"]: value(c["kind"], r[c["id"]]) for c in columns if c["id"] in r} for r in rows] for k, rows in envelope["data"].items() if k in ("rows", "groups")}
+    provenance = _only("provenance", envelope["provenance"])
+    if envelope["provenance"].get("retrieval"):
+        provenance["retrieval"] = _only("retrieval", envelope["provenance"]["retrieval"])
+    return {**_only("", envelope), "schema": columns, "data": shown, "provenance": provenance}
+
+
 def ndjson(envelope: dict) -> Iterator[str]:
     """A line of metadata, then one for each row."""
     data = envelope.get("data", {})

@@ -5,13 +5,14 @@ import urllib.request
 
 import pytest
 
-from millrace.engine import Engine
+from millrace.engine import CURSOR_LIFE, Engine
 from millrace.plans import grammar
 from millrace.plans.catalog import Catalog, Scope
+from millrace.plans.grammar import LIMITS
 from millrace.plans.json_schema import schema
 from millrace.plans.quality import Certification, report
 from millrace.service import TOOLS, Caller, Service
-from millrace.sources import seed
+from millrace.sources import seed, sinks
 from millrace.sources.bindings import Binding
 
 from .test_engine import BOTH, DOC, ROWS, SCOPE, ids, record, records, request, retrieve
@@ -37,6 +38,35 @@ def test_tools(service):
     assert service.call("run_query", {"query": records(), "x": 1}, who)["errors"][0]["path"] == "/x"
 
 
+def test_only_named_members_reach_a_model(service):
+    agent, person = service.callers["agent"], service.callers["person"]
+    for query in (records(select=("id", "paid")), retrieve(take=2)):
+        whole, shown = (service.call("run_query", {"query": query}, who) for who in (person, agent))
+        assert set(whole["provenance"]) - set(shown["provenance"]) >= {"snapshotOrWatermark", "afterWrite"}
+        assert shown["data"]["rows"] == whole["data"]["rows"][:20]
+        assert "indexWatermark" not in (shown["provenance"].get("retrieval") or {})
+    made = {**whole, "secret": 1, "provenance": {**whole["provenance"], "shard": 7}, "data": {"rows": [{**r, "hidden": "x"} for r in whole["data"]["rows"]], "raw": []}}
+    made["schema"] = [{**c, "physicalName": "p"} for c in made["schema"]]
+    assert sinks.for_model(made) == sinks.for_model(whole)
+    with pytest.raises(TypeError):
+        sinks.for_model({**whole, "data": {"rows": [{"bills.id": ["nested"]}]}})
+
+
+def test_answers_and_handles_end(service):
+    agent, now = service.callers["agent"], service.engine.now
+    receipt = service.call("run_query", {"query": records()}, agent)["executionReceipt"]
+    handle = service.open_result({"query": records()}, service.callers["person"])["handle"]
+    try:
+        service.engine.now = lambda: now() + CURSOR_LIFE
+        late = service.call("save_query", {"name": "late", "query": records(), "executionReceipt": receipt}, agent)
+        assert late["errors"][0]["code"] == "RECEIPT_INVALID"
+        assert service.page(handle, service.callers["person"])["errors"][0]["code"] == "CURSOR_INVALID"
+        service.call("run_query", {"query": records()}, agent)
+        assert receipt not in service._answers or len(service._answers) == 1
+    finally:
+        service.engine.now = now
+
+
 def test_http(service):
     server = service.server()
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -59,6 +89,7 @@ def test_http(service):
     lines = ask(f"/v0/principal-results/{handle}/stream", token="person")[1].strip().split("\n")
     assert [json.loads(x)["bills.id"] for x in lines[1:]] == ["1", "2", "3", "4"]
     assert ask("/v0/nowhere", {})[0] == 404
+    assert ask("/v0/query/run", {"x": "y" * LIMITS["bytes"]})[0] == 413
     server.shutdown()
 
 
