@@ -1,3 +1,6 @@
+import datetime as dt
+import hashlib
+import random
 import re
 
 import pytest
@@ -110,3 +113,93 @@ def test_odd_rows_and_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = op.pseudonymise(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def plain_feistel(a, b, mod_a, mod_b, tweak):
+    for i in range(op.ROUNDS):
+        low = mod_b if i % 2 else mod_a
+        mixed = int(hashlib.sha256(f"{op.KEY}|{tweak}|{i}|{b}".encode()).hexdigest()[:15], 16)
+        a, b = b, (a + mixed % low) % low
+    return a, b
+
+
+def plain_digits(d, tweak):
+    left = len(d) // 2
+    a, b = plain_feistel(int(d[:left]), int(d[left:]), 10**left, 10 ** (len(d) - left), f"{tweak}{len(d)}")
+    return f"{a:0{left}d}{b:0{len(d) - left}d}"
+
+
+def plain_name(size, *parts):
+    return hashlib.sha256("|".join([op.KEY, *parts]).encode()).hexdigest()[:size]
+
+
+def plain_card(x):
+    body = x[0] + plain_digits(x[1:-1], "card")
+    return body + next(str(c) for c in range(10) if luhn(body + str(c)))
+
+
+def plain_ssn(x):
+    area, group, serial = map(int, x.split("-"))
+    a, b = plain_feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+    areas = [n for n in range(1, 900) if n != 666]
+    return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+
+def plain_ip(x):
+    n = [int(p) for p in x.split(".")]
+    return ".".join(str(p) for half in plain_feistel(n[0] * 256 + n[1], n[2] * 256 + n[3], 65536, 65536, "ip") for p in divmod(half, 256))
+
+
+def plain_date(x, form):
+    first, days = dt.date(1800, 1, 1), (dt.date(2200, 1, 1) - dt.date(1800, 1, 1)).days
+    n = (dt.datetime.strptime(x, form).date() - first).days
+    while True:
+        a, b = plain_feistel(n // 382, n % 382, 383, 382, "date")
+        n = a * 382 + b
+        if n < days:
+            return (first + dt.timedelta(n)).strftime(form)
+
+
+def plain_iban(x):
+    own = plain_digits(x[4:], "iban")
+    return f"DE{98 - int(own + '131400') % 97:02d}{own}"
+
+
+def plain_phone(x):
+    moved = iter(plain_digits(re.sub(r"\D", "", x)[-10:], "phone"))
+    return x[:3] + re.sub(r"\d", lambda _: next(moved), x[3:])
+
+
+def plain_email(x):
+    name, _, host = x.lower().partition("@")
+    return f"u{plain_name(12, 'email', name)}@d{plain_name(8, 'email', host)}.example"
+
+
+def test_against_a_plain_version(spark):
+    pick = random.Random(3)
+    number = lambda n: "".join(str(pick.randrange(10)) for _ in range(n))
+    day = lambda: dt.date(1900, 1, 1) + dt.timedelta(pick.randrange(60_000))
+    pairs = []
+    for _ in range(25):
+        card = "4" + number(14)
+        card += next(str(c) for c in range(10) if luhn(card + str(c)))
+        pairs.append((card, plain_card(card)))
+        ssn = f"{pick.choice([1, 123, 665, 667, 899]):03d}-{pick.randrange(1, 100):02d}-{pick.randrange(1, 10_000):04d}"
+        pairs.append((ssn, plain_ssn(ssn)))
+        ip = ".".join(str(pick.randrange(256)) for _ in range(4))
+        pairs.append((ip, plain_ip(ip)))
+        for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"):
+            x = day().strftime(form)
+            pairs.append((x, plain_date(x, form)))
+        own = number(18)
+        iban = f"DE{98 - int(own + '131400') % 97:02d}{own}"
+        pairs.append((iban, plain_iban(iban)))
+        phone = f"+1 ({pick.randrange(200, 999)}) {number(3)}-{number(4)}"
+        pairs.append((phone, plain_phone(phone)))
+        email = f"Name{number(3)}@host{number(2)}.example.org"
+        pairs.append((email, plain_email(email)))
+        secret = "".join(pick.choice("0123456789abcdef") for _ in range(38)) + "a1"
+        pairs.append((secret, plain_name(40, "secret", secret)))
+    got = run(spark, [f"so {x}, they said" for x, _ in pairs])
+    for (x, want), (text, n) in zip(pairs, got, strict=True):
+        assert (text, n) == (f"so {want}, they said", int(x != want)), x
