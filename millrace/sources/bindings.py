@@ -11,11 +11,13 @@ boolean; embedding: array<float>.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +50,70 @@ class Binding:
     def indexed(self, spark: SparkSession, spec: str) -> bool:
         return spec in self.embeddings or f"embedding:{spec}" in self.load(spark).columns
 
+    def faults(self, spark: SparkSession, dataset: Dataset) -> DataFrame:
+        """Where the source breaks the catalog: (field, fault, rows) for each fault that occurs.
+
+        One pass for nulls, types, codes and currencies, one over the texts that may not
+        be in normal form, and one shuffle of the ids for repeated ones.
+        """
+        df = self.load(spark)
+        if self.deleted:
+            df = df.where(~F.col(self.deleted))
+        raw = {f.id: self._column(self.columns.get(f.id, f"`{f.local}`")) for f in dataset.fields.values()}
+        broken = [(f.id, name, test) for f in dataset.fields.values() for name, test in _tests(raw[f.id], f).items()]
+        counted = df.agg(*(F.count_if(test).alias(f"n{i}") for i, (_, _, test) in enumerate(broken)))
+        listed = F.array(*(F.struct(F.lit(at).alias("field"), F.lit(name).alias("fault"), F.col(f"n{i}").alias("rows")) for i, (at, name, _) in enumerate(broken)))
+        out = counted.select(F.inline(listed))
+        written = [f.id for f in dataset.fields.values() if f.kind in ("id", "text", "enum")]
+        odd = df.select(*(F.when(raw[n].rlike(_MAY_CHANGE), raw[n]).alias(f"t{i}") for i, n in enumerate(written))).where(F.coalesce(*(F.col(f"t{i}") for i in range(len(written)))).isNotNull())
+        out = out.unionAll(odd.mapInArrow(_unnormalised(written), "field string, fault string, rows long").groupBy("field", "fault").agg(F.sum("rows").alias("rows")))
+        again = df.select(raw[dataset.id_field].alias("id")).where("id is not null").groupBy("id").count().where("count > 1")
+        out = out.unionAll(again.agg(F.sum("count").alias("rows")).select(F.lit(dataset.id_field), F.lit("repeated"), "rows"))
+        return out.where("rows > 0")
+
     @staticmethod
     def _column(x: str | Column) -> Column:
         return F.expr(x) if isinstance(x, str) else x
 
 
+#: Texts without these are in normal form C, whatever else they hold.
+_MAY_CHANGE = r"[^\x{0}-\x{2FF}]"
+
+
+def _tests(raw: Column, f: Field) -> dict[str, Column]:
+    """Faults of one field's values by name; none of them is true of a null but `null`."""
+    out = {} if f.nullable else {"null": raw.isNull()}
+    plain = {"integer": "bigint", "boolean": "boolean", "date": "date", "instant": "timestamp"}.get(f.kind)
+    amount = raw["amount"] if f.kind == "money" else raw
+    if plain:
+        out["type"] = raw.isNotNull() & raw.try_cast(plain).isNull()
+    elif f.kind in ("decimal", "money") and f.precision:
+        kept = amount.try_cast(f"decimal({f.precision},{f.scale})")
+        wide = amount.try_cast(f"decimal(38,{min(38, f.scale + 9)})")
+        out["type"] = amount.isNotNull() & (kept.isNull() | F.coalesce(wide != kept, F.lit(False)))
+    elif f.kind in ("decimal", "money"):
+        out["type"] = amount.isNotNull() & ~amount.cast("string").rlike(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    if f.kind == "money":
+        currency = raw["currency"]
+        out["currency"] = raw.isNotNull() & (currency.isNull() | ~(currency.isin(*f.currencies) if f.currencies else currency.rlike("^[A-Z]{3}$")))
+    if f.kind == "enum":
+        out["code"] = raw.isNotNull() & ~raw.isin(*f.codes)
+    return out
+
+
+def _unnormalised(names: list[str]) -> Callable:
+    """Counts of texts that aren't in normal form C, by field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = dict.fromkeys(names, 0)
+        for batch in batches:
+            for name, texts in zip(names, batch.columns, strict=True):
+                found[name] += sum(t.is_valid and not unicodedata.is_normalized("NFC", t.as_py()) for t in texts)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(["normal form"] * len(names)), pa.array(list(found.values()), pa.int64())], ["field", "fault", "rows"])
+
+    return run
+
+
 def column(name: str) -> str:
     return "c_" + name.replace(".", "__")
 
