@@ -20,10 +20,10 @@ from millrace.llm import decontaminate, jaccard_join, language_id, packing, pii
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language: texts without a letter (null, empty) go; all go if no document has a `lang` to learn from."""
+    """Documents whose language, inferred as op7 does, isn't `und`: texts without a letter (null, empty) go; all go if no document has a `lang` to learn from."""
     scratch.prepare(spark)
     model = language_id.fit(docs.where(~language_id.held_out()))
-    return language_id.accepted(docs, model)
+    return language_id.recognised(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,14 +162,20 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _infer(model: Model, column: pa.Array, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the predicted language, with `und` after the last; proportions over all languages, over the chosen set; words) of each text."""
+    _, full, chosen, words = mixtures(model, column, penalty=penalty)
+    known = _has_letter(column) & (words > 0) if model.langs else np.zeros(len(column), dtype=bool)
+    return np.where(known, chosen.argmax(axis=1) if model.langs else 0, len(model.langs)), full, chosen, words
+
+
 def _predict(model: Model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in tv.sliced(batches, most=1 << 20):
             column = batch.column(1).fill_null("")
-            _, full, chosen, words = mixtures(model, column, penalty=penalty)
-            known = _has_letter(column) & (words > 0) if model.langs else np.zeros(len(column), dtype=bool)
-            lang = np.where(known, chosen.argmax(axis=1) if model.langs else 0, len(model.langs))
+            lang, full, chosen, words = _infer(model, column, penalty)
+            known = lang < len(model.langs)
             # proportion with half a word's worth of doubt for each language
             k = max(1, len(model.langs))
             sure = (full * words[:, None] + 0.5) / (words[:, None] + 0.5 * k) if model.langs else np.zeros((len(column), 1))
@@ -187,6 +193,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("key", id_col)
 
 
+def _recognised(model: Model, place: int, penalty: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tv.sliced(batches, place, 1 << 20):
+            lang, *_ = _infer(model, batch.column(place).fill_null(""), penalty)
+            yield batch.filter(pa.array(lang < len(model.langs)))
+
+    return run
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 1.0) -> DataFrame:
+    """The documents whose language, inferred as `predict` does, isn't ``und``, with all their columns; texts stay where they are."""
+    return docs.mapInArrow(_recognised(model, docs.columns.index(text_col), penalty), docs.schema)
+
+
 def _accepted(place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.sliced(batches, place, 1 << 20):
@@ -196,10 +216,7 @@ def _accepted(place: int):
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose language isn't ``und``, with all their columns; texts stay where they are.
-
-    That is decided by a letter alone, so no mixture is inferred; if nothing was learned, none is left.
-    """
+    """The rows of `recognised` by a plainer test, a letter alone, so no mixture is inferred; if nothing was learned, none is left."""
     return docs.mapInArrow(_accepted(docs.columns.index(text_col)), docs.schema) if model.langs else docs.limit(0)
 
 

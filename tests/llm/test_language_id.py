@@ -74,6 +74,27 @@ def test_accepted_is_what_has_a_predicted_language(spark):
         assert sorted((r.doc_id for r in op.accepted(docs, model).collect()), key=str) == sorted((r.doc_id for r in known.collect()), key=str)
 
 
+def test_recognised_is_decided_by_the_mixture(spark, monkeypatch):
+    docs = odd(spark, [row(20, "12345 67"), row(21, "— … €"), row(22, "1 é 2")])
+    for model in (model_of(spark, documents(spark)), op.fit(docs.where("lang = 'none'"))):
+        out = op.recognised(docs, model)
+        assert out.schema == docs.schema
+        known = op.predict(docs, model).where("lang_pred <> 'und'")
+        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((r.doc_id for r in known.collect()), key=str)
+    seen = []
+    whole = op.mixtures
+
+    def none_in_two(model, column, **more):
+        seen.extend(column.to_pylist())
+        *out, words = whole(model, column, **more)
+        return *out, np.where(np.array(column.to_pylist()) == "two", 0, words)
+
+    monkeypatch.setattr(op, "mixtures", none_in_two)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["one", "two", "12", None]})
+    model = op.Model(["en"], np.zeros((op.BUCKETS, 1), dtype=np.float32))
+    assert [b.column(0).to_pylist() for b in op._recognised(model, 1, 1.0)(iter([batch]))] == [[1]] and seen == ["one", "two", "12", ""]
+
+
 def plain_trigrams(text):
     """Buckets of each word's trigrams."""
     out = []

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import numpy as np
 import pytest
 from millrace.llm import decontaminate, language_id, pii
 from millrace.llm.queries import ORACLES, QUERIES
@@ -39,6 +40,13 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_language_stage_infers_the_mixture(spark, monkeypatch):
+    no_buckets = language_id.Model(["en"], np.zeros((0, 1), dtype=np.float32))  # can't be looked up by any trigram
+    monkeypatch.setattr(language_id, "fit", lambda docs: no_buckets)
+    with pytest.raises(Exception, match="out of bounds"):
+        corpus_pipeline.language(spark, odd(spark), SF).collect()
+
+
 def test_registered_queries(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
