@@ -329,7 +329,7 @@ def _bound(name: str, source: str, change: Callable[[DataFrame], DataFrame], que
         e = engine(spark, sf_dir)
         own = e.bindings[source]
         e.bindings[source] = replace(own, load=lambda s: change(own.load(s)), **more)
-        return plain(e.dataframe(query, Scope.open()))
+        return plain(e.dataframe(query, everything()))
 
     QUERIES[name], ORACLES[name] = run, sql
 

@@ -52,7 +52,7 @@ def many(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["r6_cosine_topk", "r7_dot_topk", "r8_euclidean_topk"])
+@pytest.mark.parametrize("name", ["r6_cosine_topk", "r7_dot_topk", "r8_euclidean_topk", "r9_ties_by_id"])
 def test_more_vectors_than_the_default_limit(spark, many, name):
     duck = pytest.importorskip("duckdb").connect()
     for table in ("embeddings", "documents"):
