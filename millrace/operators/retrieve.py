@@ -43,8 +43,9 @@ def _first(query: list[float], metric: str, k: int) -> Callable:
         schema = None
         for batch in batches:
             schema = batch.schema
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            best = heapq.nsmallest(k, [*best, *((vectors.exact(v, query, metric), i.encode(), v) for i, v in rows)], key=lambda r: r[:2])
+            rows = list(zip(batch.column(0).to_pylist(), map(tuple, batch.column(1).to_pylist()), strict=True))
+            exact = {v: vectors.exact(v, query, metric) for v in {v for _, v in rows}}  # copies tie: once a batch
+            best = heapq.nsmallest(k, [*best, *((exact[v], i.encode(), v) for i, v in rows)], key=lambda r: r[:2])
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([r[1].decode() for r in best], schema.field(0).type), pa.array([r[2] for r in best], schema.field(1).type)], schema=schema)
 

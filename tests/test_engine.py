@@ -2,10 +2,12 @@ import datetime as dt
 import re
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from millrace.engine import Engine
-from millrace.operators.retrieve import nearest
+from millrace.functions import vectors
+from millrace.operators.retrieve import _first, nearest
 from millrace.plans.catalog import Catalog, CatalogError, Policy, Scope
 from millrace.sources import sinks
 from millrace.sources.bindings import Binding
@@ -251,6 +253,16 @@ def test_ties_come_back_bounded(spark, monkeypatch):
     assert max(sizes) <= 3 * 7
 
 
+def test_copies_are_ranked_exactly_once_a_batch(monkeypatch):
+    rows = [(f"{i:04d}", [1.0, float(i % 3)]) for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "v": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    seen, exact = [], vectors.exact
+    monkeypatch.setattr(vectors, "exact", lambda v, *more: seen.append(v) or exact(v, *more))
+    (out,) = _first([1.0, 2.0], "cosine", 4)(iter([batch, batch.slice(0, 0)]))
+    assert out.to_pydict() == {"id": ["0002", "0005", "0008", "0011"], "v": [[1.0, 2.0]] * 4}
+    assert len(seen) == 3
+
+
 def test_hybrid(engine):
     search = {"kind": "hybrid", "semantic": {"using": "note@1", "text": "beta beta", "accuracy": "approximate"}, "lexical": {"field": "bills.note", "text": "beta"}, "fusion": "rrf-v0", "quality": "loose"}
     out = engine.run({"version": "0", "mode": "retrieve", "from": "bills", "select": ["bills.note"], "search": search, "take": 3}, SCOPE)
